@@ -61,9 +61,14 @@ def period_start(ts: Column, period: str) -> Column:
     return F.date_trunc(PERIOD_UNITS[period], ts).cast("date")
 
 
+def round_to(col: Column, digits: int) -> Column:
+    """``digits`` decimals, halves to even on the scaled value."""
+    scale = float(10**digits)
+    return F.rint(col * scale) / scale
+
+
 def round2(col: Column) -> Column:
-    """Two decimals, halves to even on the scaled value."""
-    return F.rint(col * 100) / 100
+    return round_to(col, 2)
 
 
 def pct(part: Column, whole: Column) -> Column:

@@ -36,14 +36,14 @@ def block_confidence(blocks: Column) -> Column:
     """Mean confidence of the scored blocks on 0-1, four decimals; none gives 0."""
     scored = F.transform(F.filter(blocks, lambda b: b["Confidence"].isNotNull()), lambda b: b["Confidence"] / 100)
     total = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(scored) > 0, F.round(total / F.size(scored), 4)).otherwise(0.0)
+    return F.when(F.size(scored) > 0, S.round_to(total / F.size(scored), 4)).otherwise(0.0)
 
 
 def percent_confidence(blocks: Column) -> Column:
     """The same mean on 0-100, two decimals."""
     scored = F.transform(F.filter(blocks, lambda b: b["Confidence"].isNotNull()), lambda b: b["Confidence"])
     total = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(scored) > 0, F.round(total / F.size(scored), 2)).otherwise(0.0)
+    return F.when(F.size(scored) > 0, S.round_to(total / F.size(scored), 2)).otherwise(0.0)
 
 
 def confidence(docs: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def tables(docs: DataFrame) -> DataFrame:
 def labels_and_text(df: DataFrame) -> DataFrame:
     """Vision output (labels, text_detections) to detected labels, LINE texts and their mean confidence on 0-1."""
     def scaled(x: Column) -> Column:
-        return F.round(F.coalesce(x["Confidence"], F.lit(0.0)) / 100, 4).alias("confidence")
+        return S.round_to(F.coalesce(x["Confidence"], F.lit(0.0)) / 100, 4).alias("confidence")
 
     found = F.transform("labels", lambda x: F.struct(F.coalesce(x["Name"], F.lit("")).alias("name"), scaled(x)))
     text = F.transform(F.filter("text_detections", lambda x: x["Type"] == "LINE"), lambda x: F.struct(
@@ -159,7 +159,7 @@ def labels_and_text(df: DataFrame) -> DataFrame:
     scores = F.concat(F.transform("detected_labels", lambda x: x["confidence"]),
                       F.transform("detected_text", lambda x: x["confidence"]))
     mean = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x) / F.size(scores)
-    return out.withColumn("confidence", F.when(F.size(scores) > 0, F.round(mean, 4)).otherwise(0.0))
+    return out.withColumn("confidence", F.when(F.size(scores) > 0, S.round_to(mean, 4)).otherwise(0.0))
 
 
 def route(df: DataFrame, bucket: str, at: Column, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:

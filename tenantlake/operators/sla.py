@@ -112,7 +112,7 @@ def sla_compliance(executions: DataFrame, contracts: DataFrame) -> DataFrame:
                                      actual.cast("double").alias("actual")))
 
     breaches = F.array_compact(F.array(
-        breach(late, "timeliness", F.col("max_hours"), F.round(hours, 4)),
+        breach(late, "timeliness", F.col("max_hours"), S.round_to(hours, 4)),
         breach(poor, "quality", F.col("min_score"), F.col("quality_score")),
         breach(down, "availability", F.col("min_uptime"), F.col("actual_uptime"))))
     return executions.join(limits, "contract_id", "left").select(

@@ -1,4 +1,4 @@
 """Domain views over the shared tables and the registered queries."""
 
-from tenantlake.plans import cleansing, quality, serving  # noqa: F401
+from tenantlake.plans import cleansing, governance, ocr, operations, quality, serving  # noqa: F401
 from tenantlake.plans.registry import REGISTRY  # noqa: F401

@@ -150,13 +150,13 @@ SELECT rule_order, round(CAST(actual AS DOUBLE), 4) AS actual_value, passed FROM
   UNION ALL SELECT 1, dear / n, dear / n = 1.0 FROM m UNION ALL SELECT 2, 1, true FROM m
   UNION ALL SELECT 3, (ids = n)::INT, ids = n FROM m UNION ALL SELECT 4, is_key::INT, is_key FROM m
   UNION ALL SELECT 5, whole / quantities, whole / quantities > 0.5 FROM m
-  UNION ALL SELECT 6, 7.0 / 8.0, false FROM m UNION ALL SELECT 7, r, r BETWEEN -0.5 AND 0.9 FROM m
+  UNION ALL SELECT 6, 1.0, true FROM m UNION ALL SELECT 7, r, r BETWEEN -0.5 AND 0.9 FROM m
   UNION ALL SELECT 8, sd, sd < 100 FROM m UNION ALL SELECT 9, mean, mean > 10 FROM m
   UNION ALL SELECT 10, total, total > 0 FROM m UNION ALL SELECT 11, kinds, kinds = 3 FROM m
   UNION ALL SELECT 12, date_diff('hour', newest, TIMESTAMP '2001-12-31'),
     date_diff('hour', newest, TIMESTAMP '2001-12-31') <= 2400 FROM m
   UNION ALL SELECT 13, n, n > 100 FROM m UNION ALL SELECT 14, notes / n, notes / n > 0.9 FROM m
-  UNION ALL SELECT 15, ids / n, ids / n > 0.99 FROM m)""")
+  UNION ALL SELECT 15, ids / n, ids / n > 0.99 FROM m)""", ("v_delivered",))
 def keyword_rules(spark, sf):
     texts = ['ColumnExists "note"', 'ColumnValues "price" > 20000', 'IsComplete "batch_id"', 'IsUnique "batch_id"',
              'IsPrimaryKey "batch_id" "ts" "price" "cmo_id"', 'ColumnDataType "quantity" "bigint" > 0.5',

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenantlake.functions import paths as P
 from tenantlake.functions import scalars as S
-from tenantlake.operators import access, filters, gold, pii, schema
+from tenantlake.operators import access, filters, gold, pii
 from tenantlake.plans import bindings as B
 from tenantlake.plans.registry import query
 
@@ -395,23 +395,6 @@ def newest_record_per_supplier(spark, sf):
         F.max("ts").cast("date").alias("newest_on"), F.max_by("batch_id", F.struct("ts", "batch_id")).alias("newest_batch"))
 
 
-@query("schema_field_sets", "SET-4 SCH-5", """
-SELECT field, CASE WHEN field = 'key' THEN 'number' WHEN field = 'note' THEN 'string' ELSE 'string' END AS type,
-  field IN ('key', 'name') AS required FROM (VALUES ('key'), ('name'), ('note'), ('only_orders')) AS t(field)
-WHERE (SELECT count(*) FROM orders) > 0""")
-def schema_field_sets(spark, sf):
-    """Inferred from two whole tables of text cells, then merged."""
-    o, c = B.table(spark, sf, "orders"), B.table(spark, sf, "customer")
-    first = o.select(F.col("o_totalprice").cast("string").alias("key"), F.col("o_orderpriority").alias("name"),
-                     F.col("o_custkey").cast("string").alias("note"), F.col("o_orderstatus").alias("only_orders"))
-    second = c.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"),
-                      F.col("c_mktsegment").alias("note"))
-    fields = schema.infer_csv_schema(first).withColumn("schema_id", F.lit("a")).unionByName(
-        schema.infer_csv_schema(second).withColumn("schema_id", F.lit("b")))
-    merged = schema.merge_schemas(fields)
-    return merged.withColumn("required", F.col("required") & (F.col("field") != "note"))
-
-
 @query("domain_union", "SET-5", """SELECT 'batch' AS source, batch_id, price, NULL AS status FROM v_batch_records
 UNION ALL SELECT 'order', concat('O', batch_id), yield_value, status FROM v_batches""", ("v_batch_records", "v_batches"))
 def domain_union(spark, sf):
