@@ -29,16 +29,12 @@ CONTRACT_ID_RE = r"^CMO-[A-Z0-9\-]+-[A-Z0-9\-]+-\d{3}$"
 
 
 class _Node:
-    """A JSON value inside a variant: its presence, kind and scalar forms."""
+    """A JSON value held in a variant column (null when absent): its kind and scalar forms."""
 
-    def __init__(self, root: Column, path: str = "$"):
-        raw = root if path == "$" else F.try_variant_get(root, path, "variant")
-        self.value = F.when(~F.is_variant_null(raw), raw)
-        self.kind = F.schema_of_variant(self.value)
-        self.absent = self.value.isNull()
-
-    def child(self, name: str) -> "_Node":
-        return _Node(self.value, f"$.{name}")
+    def __init__(self, value: Column):
+        self.value = value
+        self.kind = F.schema_of_variant(value)
+        self.absent = value.isNull()
 
     @property
     def text(self) -> Column:
@@ -55,12 +51,11 @@ class _Node:
     @property
     def is_whole(self) -> Column:
         # true and false count as whole numbers, as they do for the contract authors' tools
-        return self.is_bool | F.coalesce(self.kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"),
-                                         F.lit(False))
+        return F.coalesce(self.kind.rlike(r"^(BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"), F.lit(False))
 
     @property
     def is_number(self) -> Column:
-        return self.is_whole | F.coalesce(self.kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+        return F.coalesce(self.kind.rlike("^(BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
 
     @property
     def is_list(self) -> Column:
@@ -81,6 +76,39 @@ class _Node:
         return self.is_text & (F.length(F.btrim(self.text, F.lit(" \t\n\r\f\x0b"))) > 0)
 
 
+def _field(parent: Column, name: str) -> Column:
+    """A field's value; JSON null reads as absent."""
+    raw = F.try_variant_get(parent, f"$.{name}", "variant")
+    return F.when(~F.is_variant_null(raw), raw)
+
+
+# The fields read from each section.
+_SECTIONS = {
+    "sla": ("timeliness", "availability", "quality"),
+    "deliverySchedule": ("frequency", "cronExpression"),
+    "governance": ("dataClassification", "retentionYears", "allowedUsers", "allowedGroups", "piiFields",
+                   "encryptionRequired"),
+}
+_SLA_FIELDS = {"timeliness": "maxDelayHours", "availability": "uptimePercentage", "quality": "minQualityScore"}
+
+
+def _unpacked(df: DataFrame, doc: str) -> DataFrame:
+    """The document's parts as variant columns, one nesting level per projection.
+
+    Each projection is kept apart by the optimizer because its columns are read many times, so the
+    document is parsed once and each field looked up once.
+    """
+    out = df.withColumn("_root", F.try_parse_json(F.col(doc)))
+    out = out.withColumns({f"_{n}": _field(F.col("_root"), n) for n in REQUIRED_FIELDS})
+    parts = {f"_{s}_{n}": _field(F.col(f"_{s}"), n) for s, names in _SECTIONS.items() for n in names}
+    rules = F.try_variant_get(F.col("_qualityRules"), "$", "array<variant>")
+    parts["_rules"] = F.transform(rules, lambda r: F.struct(
+        r.alias("raw"), *[_field(r, n).alias(n) for n in RULE_FIELDS]))
+    out = out.withColumns(parts)
+    return out.withColumns({f"_sla_{s}_{n}": _field(F.col(f"_sla_{s}"), n)
+                            for s, own in _SLA_FIELDS.items() for n in (own, "measurementWindow")})
+
+
 def _when(cond: Column, message) -> Column:
     return F.when(cond, message if isinstance(message, Column) else F.lit(message))
 
@@ -89,16 +117,19 @@ def _listed(values) -> str:
     return str(sorted(values))
 
 
-def rule_errors(rules: _Node) -> Column:
+def _node(name: str) -> _Node:
+    return _Node(F.col(f"_{name}"))
+
+
+def rule_errors() -> Column:
     """Errors of the rule list."""
-    def one(raw: Column, i: Column) -> Column:
-        rule = _Node(raw)
-        prefix = F.concat(F.lit("qualityRules["), i.cast("string"), F.lit("]"))
+    def one(rule: Column, i: Column) -> Column:
+        prefix = F.concat(F.lit("qualityRules["), i.cast("string"), F.lit("]: "))
 
         def err(cond: Column, text) -> Column:
-            return F.when(cond, F.concat(prefix, F.lit(": "), text if isinstance(text, Column) else F.lit(text)))
+            return F.when(cond, F.concat(prefix, text if isinstance(text, Column) else F.lit(text)))
 
-        field = {name: rule.child(name) for name in RULE_FIELDS}
+        field = {name: _Node(rule[name]) for name in RULE_FIELDS}
         checks = [err(field[n].absent, f"missing required field '{n}'") for n in RULE_FIELDS]
         kind, sev, limit, text = field["ruleType"], field["severity"], field["threshold"], field["expression"]
         checks.append(err(~kind.absent & ~F.coalesce(kind.text.isin(*RULE_TYPES), F.lit(False)), F.concat(
@@ -113,26 +144,26 @@ def rule_errors(rules: _Node) -> Column:
         checks.append(err(text.filled & ~starts,
                           "expression is not valid DQDL. Must start with a recognised DQDL keyword "
                           "(e.g. Completeness, ColumnExists, Uniqueness, …)"))
-        whole = F.array_compact(F.array(*checks))
-        return F.when(rule.is_object, whole).otherwise(F.array(F.concat(prefix, F.lit(": must be a dictionary"))))
+        return F.when(_Node(rule["raw"]).is_object, F.array_compact(F.array(*checks))).otherwise(
+            F.array(F.concat(prefix, F.lit("must be a dictionary"))))
 
-    items = F.try_variant_get(rules.value, "$", "array<variant>")
-    return (F.when(~rules.is_list, F.array(F.lit("qualityRules must be a list")))
-            .when(F.size(items) == 0, F.array(F.lit("qualityRules must contain at least one rule")))
-            .otherwise(F.flatten(F.transform(items, one))))
+    return (F.when(~_node("qualityRules").is_list, F.array(F.lit("qualityRules must be a list")))
+            .when(F.size("_rules") == 0, F.array(F.lit("qualityRules must contain at least one rule")))
+            .otherwise(F.flatten(F.transform("_rules", one))))
 
 
-def sla_errors(sla: _Node) -> Column:
+def sla_errors() -> Column:
     """Errors of the service-level section."""
     checks = []
-    for section, name, bad, text in (
-            ("timeliness", "maxDelayHours", lambda n: ~n.is_number | (n.number <= 0), "must be a positive number"),
-            ("availability", "uptimePercentage", lambda n: ~n.is_number | ~n.number.between(0, 100),
-             "must be between 0 and 100"),
-            ("quality", "minQualityScore", lambda n: ~n.is_number | ~n.number.between(0, 100),
-             "must be between 0 and 100")):
-        part = sla.child(section)
-        value, span = part.child(name), part.child("measurementWindow")
+    bad_number = {
+        "timeliness": (lambda n: ~n.is_number | (n.number <= 0), "must be a positive number"),
+        "availability": (lambda n: ~n.is_number | ~n.number.between(0, 100), "must be between 0 and 100"),
+        "quality": (lambda n: ~n.is_number | ~n.number.between(0, 100), "must be between 0 and 100"),
+    }
+    for section, name in _SLA_FIELDS.items():
+        bad, text = bad_number[section]
+        part = _node(f"sla_{section}")
+        value, span = _node(f"sla_{section}_{name}"), _node(f"sla_{section}_measurementWindow")
         checks += [
             _when(part.absent, f"sla: missing required section '{section}'"),
             _when(~part.absent & ~part.is_object, f"sla.{section} must be a dictionary"),
@@ -142,13 +173,13 @@ def sla_errors(sla: _Node) -> Column:
             _when(part.is_object & ~span.absent & ~span.filled,
                   f"sla.{section}: measurementWindow must be a non-empty string"),
         ]
-    return F.when(sla.is_object, F.array_compact(F.array(*checks))).otherwise(
+    return F.when(_node("sla").is_object, F.array_compact(F.array(*checks))).otherwise(
         F.array(F.lit("sla must be a dictionary")))
 
 
-def schedule_errors(schedule: _Node) -> Column:
+def schedule_errors() -> Column:
     """Errors of the delivery schedule."""
-    often, cron = schedule.child("frequency"), schedule.child("cronExpression")
+    often, cron = _node("deliverySchedule_frequency"), _node("deliverySchedule_cronExpression")
     fields = F.size(F.split(F.btrim(cron.text, F.lit(" \t\n\r\f\x0b")), r"\s+"))
     checks = [
         _when(often.absent, "deliverySchedule: missing required field 'frequency'"),
@@ -159,13 +190,13 @@ def schedule_errors(schedule: _Node) -> Column:
         _when(cron.filled & ~fields.isin(5, 6), "deliverySchedule: cronExpression is not a valid cron format. "
                                                 "Expected 5 or 6 space-separated fields"),
     ]
-    return F.when(schedule.is_object, F.array_compact(F.array(*checks))).otherwise(
+    return F.when(_node("deliverySchedule").is_object, F.array_compact(F.array(*checks))).otherwise(
         F.array(F.lit("deliverySchedule must be a dictionary")))
 
 
-def governance_errors(governance: _Node) -> Column:
+def governance_errors() -> Column:
     """Errors of the governance section."""
-    level, years = governance.child("dataClassification"), governance.child("retentionYears")
+    level, years = _node("governance_dataClassification"), _node("governance_retentionYears")
     checks = [
         _when(level.absent, "governance: missing required field 'dataClassification'"),
         _when(~level.absent & ~F.coalesce(level.text.isin(*CLASSIFICATIONS), F.lit(False)), F.concat(
@@ -176,13 +207,13 @@ def governance_errors(governance: _Node) -> Column:
               "governance: retentionYears must be a positive integer"),
     ]
     for name in ("allowedUsers", "allowedGroups", "piiFields"):
-        node = governance.child(name)
+        node = _node(f"governance_{name}")
         checks += [_when(node.absent, f"governance: missing required field '{name}'"),
                    _when(~node.absent & ~node.is_list, f"governance: {name} must be a list")]
-    crypt = governance.child("encryptionRequired")
+    crypt = _node("governance_encryptionRequired")
     checks += [_when(crypt.absent, "governance: missing required field 'encryptionRequired'"),
                _when(~crypt.absent & ~crypt.is_bool, "governance: encryptionRequired must be a boolean")]
-    return F.when(governance.is_object, F.array_compact(F.array(*checks))).otherwise(
+    return F.when(_node("governance").is_object, F.array_compact(F.array(*checks))).otherwise(
         F.array(F.lit("governance must be a dictionary")))
 
 
@@ -191,16 +222,15 @@ def validate_contracts(df: DataFrame, doc: str = "doc") -> DataFrame:
 
     With a top-level field missing, only the missing fields are reported.
     """
-    root = _Node(F.try_parse_json(F.col(doc)))
-    top = {name: root.child(name) for name in REQUIRED_FIELDS}
     missing = F.array_compact(F.array(*[
-        _when(node.absent, f"Missing required field: {name}") for name, node in top.items()]))
+        _when(_node(name).absent, f"Missing required field: {name}") for name in REQUIRED_FIELDS]))
     blank = F.array_compact(F.array(*[
-        _when(~top[name].filled, f"{name} must be a non-empty string") for name in TEXT_FIELDS]))
-    deep = F.concat(rule_errors(top["qualityRules"]), sla_errors(top["sla"]),
-                    schedule_errors(top["deliverySchedule"]), governance_errors(top["governance"]), blank)
-    checked = df.withColumn("errors", F.when(F.size(missing) > 0, missing).otherwise(deep))
-    return checked.withColumn("is_valid", F.size("errors") == 0)
+        _when(~_node(name).filled, f"{name} must be a non-empty string") for name in TEXT_FIELDS]))
+    lists = _unpacked(df, doc).select(
+        *df.columns, missing.alias("_missing"), rule_errors().alias("_e1"), sla_errors().alias("_e2"),
+        schedule_errors().alias("_e3"), governance_errors().alias("_e4"), blank.alias("_e5"))
+    errors = F.when(F.size("_missing") > 0, F.col("_missing")).otherwise(F.concat("_e1", "_e2", "_e3", "_e4", "_e5"))
+    return lists.select(*df.columns, errors.alias("errors")).withColumn("is_valid", F.size("errors") == 0)
 
 
 def name_part(name: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tenantlake.functions import paths as P
 from tenantlake.functions import scalars as S
+from tenantlake.session import stage
 
 # Confidence needed to skip manual review, and header fields of a certificate.
 CONFIDENCE_THRESHOLD = 0.85
@@ -19,6 +20,7 @@ CERTIFICATE_FIELDS = ("Product Name", "Batch / Lot", "Mfg Date", "Expiry Date",
                       "Analyst", "QA Approver")
 
 DOC = "doc_id"
+LINKED_TYPES = ("WORD", "CELL", "TABLE", "KEY_VALUE_SET")
 
 
 def line_texts(blocks: Column) -> Column:
@@ -50,12 +52,18 @@ def confidence(docs: DataFrame) -> DataFrame:
     return docs.withColumn("confidence", block_confidence(F.col("blocks")))
 
 
-def _blocks(docs: DataFrame, *kinds: str) -> DataFrame:
-    """One row per block of the given kinds; the filter is applied inside the row, before exploding."""
+def stage_blocks(docs: DataFrame) -> DataFrame:
+    """The blocks that refer to each other, one per row, written once to the shared folder.
+
+    Forms and tables read it several times by block type; staging it means the documents themselves,
+    often JSON, are parsed once.
+    """
     wanted = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("pos"), b.alias("b"))),
-                      lambda x: x["b"]["BlockType"].isin(*kinds))
-    return docs.select(DOC, F.explode(wanted).alias("x")).select(
-        DOC, F.col("x.pos").alias("pos"), F.col("x.b.*"))
+                      lambda x: x["b"]["BlockType"].isin(*LINKED_TYPES))
+    long = docs.select(DOC, F.explode(wanted).alias("x")).select(
+        DOC, F.col("x.pos").alias("pos"), *[F.col(f"x.b.{c}").alias(c) for c in (
+            "Id", "BlockType", "Text", "RowIndex", "ColumnIndex", "EntityTypes", "Relationships")])
+    return stage(long, "blocks")
 
 
 def _links(blocks: DataFrame, kind: str) -> DataFrame:
@@ -65,13 +73,17 @@ def _links(blocks: DataFrame, kind: str) -> DataFrame:
         DOC, "pos", "parent_id", "rel_no", F.posexplode("rel.Ids").alias("child_no", "child_id"))
 
 
-def block_text(docs: DataFrame, *kinds: str) -> DataFrame:
+def _of(blocks: DataFrame, kind: str) -> DataFrame:
+    return blocks.where(F.col("BlockType") == kind)
+
+
+def block_text(blocks: DataFrame, *kinds: str) -> DataFrame:
     """(doc_id, block_id, text): WORD children joined by spaces, in child order.
 
     Blocks without words are absent; callers coalesce to ''.
     """
-    parents = _blocks(docs, *(kinds or ("CELL", "KEY_VALUE_SET")))
-    words = _blocks(docs, "WORD").select(DOC, F.col("Id").alias("child_id"), F.coalesce("Text", F.lit("")).alias("word"))
+    parents = blocks.where(F.col("BlockType").isin(*(kinds or ("CELL", "KEY_VALUE_SET"))))
+    words = _of(blocks, "WORD").select(DOC, F.col("Id").alias("child_id"), F.coalesce("Text", F.lit("")).alias("word"))
     found = _links(parents, "CHILD").join(words, [DOC, "child_id"])
     # a block's words were one array inside one block to begin with
     ordered = F.array_sort(F.collect_list(F.struct("rel_no", "child_no", "word")))
@@ -79,11 +91,10 @@ def block_text(docs: DataFrame, *kinds: str) -> DataFrame:
         F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"))
 
 
-def forms(docs: DataFrame) -> DataFrame:
+def forms(blocks: DataFrame) -> DataFrame:
     """(doc_id, key, value) of the form fields; empty keys dropped, the last of equal keys wins."""
-    pairs = _blocks(docs, "KEY_VALUE_SET")
-    texts = block_text(docs, "KEY_VALUE_SET")
-    keys = pairs.where(F.array_contains("EntityTypes", "KEY"))
+    texts = block_text(blocks, "KEY_VALUE_SET")
+    keys = _of(blocks, "KEY_VALUE_SET").where(F.array_contains("EntityTypes", "KEY"))
     last_value = _links(keys, "VALUE").groupBy(DOC, F.col("parent_id").alias("block_id")).agg(
         F.max_by("child_id", F.struct("rel_no", "child_no")).alias("value_id"))
     values = texts.select(DOC, F.col("block_id").alias("value_id"), F.col("text").alias("value"))
@@ -94,57 +105,60 @@ def forms(docs: DataFrame) -> DataFrame:
         F.max_by(F.coalesce("value", F.lit("")), "pos").alias("value"))
 
 
-def cells(docs: DataFrame) -> DataFrame:
+def cells(blocks: DataFrame) -> DataFrame:
     """(doc_id, table_no, row, col, text): table_no is the block position; the last of equal cells wins."""
-    tables = _blocks(docs, "TABLE")
-    cell_blocks = _blocks(docs, "CELL").select(
+    cell_blocks = _of(blocks, "CELL").select(
         DOC, F.col("Id").alias("child_id"), F.coalesce("RowIndex", F.lit(0)).alias("row"),
         F.coalesce("ColumnIndex", F.lit(0)).alias("col"))
-    texts = block_text(docs, "CELL").select(DOC, F.col("block_id").alias("child_id"), "text")
-    placed = (_links(tables, "CHILD").join(cell_blocks, [DOC, "child_id"])
+    texts = block_text(blocks, "CELL").select(DOC, F.col("block_id").alias("child_id"), "text")
+    placed = (_links(_of(blocks, "TABLE"), "CHILD").join(cell_blocks, [DOC, "child_id"])
               .join(texts, [DOC, "child_id"], "left"))
     return placed.groupBy(DOC, F.col("pos").alias("table_no"), "row", "col").agg(
         F.max_by(F.coalesce("text", F.lit("")), F.struct("rel_no", "child_no")).alias("text"))
 
 
-def table_rows(docs: DataFrame) -> DataFrame:
+def table_rows(blocks: DataFrame) -> DataFrame:
     """(doc_id, table_no, row, cells): the matrix form, a row's texts in column order.
 
     ``by_col`` keeps the texts under their column index. One table row is collected at a time.
     """
     by_col = F.array_sort(F.collect_list(F.struct("col", "text")))
-    return cells(docs).groupBy(DOC, "table_no", "row").agg(
+    return cells(blocks).groupBy(DOC, "table_no", "row").agg(
         F.transform(by_col, lambda c: c["text"]).alias("cells"), F.map_from_entries(by_col).alias("by_col"))
 
 
-def table_records(docs: DataFrame) -> DataFrame:
+def _records(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    body = rows.join(heads, [DOC, "table_no"]).where(F.col("row") > F.col("first_row"))
+    names = F.array_distinct("header")
+    last_at = F.transform(names, lambda h: F.size("header") - F.array_position(F.reverse("header"), h) + 1)
+    values = F.transform(last_at, lambda i: F.coalesce(F.try_element_at("by_col", i.cast("int")), F.lit("")))
+    return body.select(DOC, "table_no", "row", F.map_from_arrays(names, values).alias("record"))
+
+
+def table_records(blocks: DataFrame) -> DataFrame:
     """(doc_id, table_no, row, record): each later row as a map under the first row's texts.
 
     Header names are taken by place; cells are read at column 1, 2, ... whatever the header's own
     columns were; of equal header names the last wins. A table's header is joined to its rows.
     """
-    rows = table_rows(docs)
+    rows = table_rows(blocks)
     heads = rows.groupBy(DOC, "table_no").agg(F.min("row").alias("first_row"),
                                               F.min_by("cells", "row").alias("header"))
-    body = rows.join(heads, [DOC, "table_no"]).where(F.col("row") > F.col("first_row"))
-    names = F.array_distinct("header")
-    last_at = F.transform(names, lambda h: F.size("header") - F.array_position(F.reverse("header"), h) + 1)
-    values = F.transform(last_at, lambda i: F.coalesce(
-        F.try_element_at("by_col", i.cast("int")), F.lit("")))
-    return body.select(DOC, "table_no", "row", F.map_from_arrays(names, values).alias("record"))
+    return _records(rows, heads)
 
 
-def tables(docs: DataFrame) -> DataFrame:
-    """(doc_id, table_no, matrix, records): one row per table, as large as the table was in its document."""
-    matrix = table_rows(docs).groupBy(DOC, "table_no").agg(F.transform(
+def matrices(blocks: DataFrame) -> DataFrame:
+    """(doc_id, table_no, matrix): one row per table, as large as the table was in its document."""
+    return table_rows(blocks).groupBy(DOC, "table_no").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("matrix"))
+
+
+def record_tables(blocks: DataFrame) -> DataFrame:
+    """(doc_id, table_no, records): the row-map form, one row per table; a header alone has no records."""
     # sorted by row; maps cannot be compared, so the record travels as text
-    records = table_records(docs).groupBy(DOC, "table_no").agg(F.transform(
+    return table_records(blocks).groupBy(DOC, "table_no").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("row", F.to_json("record").alias("record")))),
         lambda r: F.from_json(r["record"], "map<string,string>")).alias("records"))
-    return matrix.join(records, [DOC, "table_no"], "left").select(
-        DOC, "table_no", "matrix",
-        F.coalesce("records", F.array().cast("array<map<string,string>>")).alias("records"))
 
 
 def labels_and_text(df: DataFrame) -> DataFrame:
@@ -198,8 +212,9 @@ def process_documents(docs: DataFrame, bucket: str, at: Column,
     ``docs``: (doc_id, cmo_id, data_domain, file_key, blocks). Forms and tables are put back with one
     join each; a document's output is no larger than the row it came from.
     """
-    kv = forms(docs).groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("forms"))
-    tabs = tables(docs).groupBy(DOC).agg(F.transform(
+    blocks = stage_blocks(docs)
+    kv = forms(blocks).groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("forms"))
+    tabs = matrices(blocks).groupBy(DOC).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("table_no", "matrix"))), lambda t: t["matrix"]).alias("tables"))
     base = docs.select(DOC, "cmo_id", "data_domain", "file_key", line_texts(F.col("blocks")).alias("lines"),
                        block_confidence(F.col("blocks")).alias("confidence"),
