@@ -163,10 +163,10 @@ def record_contains(columns: list[str], needle: str) -> Column:
 
 def label_of(code: Column, labels: Mapping[str, str]) -> Column:
     """Display label of a code, the code itself when unknown."""
-    if not labels:
-        return code
-    pairs = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    return F.coalesce(F.try_element_at(pairs, code), code)
+    out = code
+    for key, text in labels.items():
+        out = F.when(code == key, F.lit(text)).otherwise(out)
+    return out
 
 
 def join_labels(codes: Column, labels: Mapping[str, str], sep: str = ", ") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tenantlake.functions import paths as P
 from tenantlake.functions import scalars as S
-from tenantlake.session import stage
+from tenantlake.session import spread, stage
 
 # Confidence needed to skip manual review, and header fields of a certificate.
 CONFIDENCE_THRESHOLD = 0.85
@@ -58,12 +58,10 @@ def stage_blocks(docs: DataFrame) -> DataFrame:
     Forms and tables read it several times by block type; staging it means the documents themselves,
     often JSON, are parsed once.
     """
-    wanted = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("pos"), b.alias("b"))),
-                      lambda x: x["b"]["BlockType"].isin(*LINKED_TYPES))
-    long = docs.select(DOC, F.explode(wanted).alias("x")).select(
-        DOC, F.col("x.pos").alias("pos"), *[F.col(f"x.b.{c}").alias(c) for c in (
-            "Id", "BlockType", "Text", "RowIndex", "ColumnIndex", "EntityTypes", "Relationships")])
-    return stage(long, "blocks")
+    long = spread(docs.select(DOC, "blocks")).select(DOC, F.posexplode("blocks").alias("pos", "b"))
+    linked = long.where(F.col("b.BlockType").isin(*LINKED_TYPES))
+    return stage(linked.select(DOC, "pos", *[F.col(f"b.{c}").alias(c) for c in (
+        "Id", "BlockType", "Text", "RowIndex", "ColumnIndex", "EntityTypes", "Relationships")]), "blocks")
 
 
 def _links(blocks: DataFrame, kind: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake.functions import scalars as S
+from tenantlake.session import spread
 
 # Column-name suffixes that suggest a person's name.
 NAME_SUFFIXES = ("_name", "_contact", "_person")
@@ -23,7 +24,6 @@ STRATEGIES = ("hash", "redact", "partial")
 REDACTED = "[REDACTED]"
 
 _PATTERNS = {"EMAIL": S.EMAIL_RE, "PHONE": S.PHONE_RE, "SSN": S.SSN_RE}
-_SCANNABLE = ("string", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
 
 
 def _text(name: str, dtype: str) -> Column:
@@ -33,33 +33,43 @@ def _text(name: str, dtype: str) -> Column:
     return S.as_text(col, dtype)
 
 
+def _hits(value: Column, kind: str) -> Column:
+    """Matches of a pattern in a text; a cheap test for the character every match holds comes first."""
+    maybe = value.contains("@") if kind == "EMAIL" else value.rlike("[0-9]{3}")
+    return F.when(maybe, F.regexp_count(value, F.lit(_PATTERNS[kind]))).otherwise(0)
+
+
+def _found(value: Column, kind: str) -> Column:
+    maybe = value.contains("@") if kind == "EMAIL" else value.rlike("[0-9]{3}")
+    return F.coalesce(maybe & value.rlike(_PATTERNS[kind]), F.lit(False))
+
+
 def detect_pii(df: DataFrame) -> DataFrame:
     """(field, pii_types) of the columns holding personal data, sorted types, from one aggregate."""
     aggs, entries = [F.count(F.lit(1)).alias("_rows")], []
     for i, (name, dtype) in enumerate(df.dtypes):
         value = _text(name, dtype)
-        for kind, pattern in _PATTERNS.items():
-            aggs.append(F.bool_or(value.rlike(pattern)).alias(f"{kind}{i}"))
+        for kind in _PATTERNS:
+            aggs.append(F.bool_or(_found(value, kind)).alias(f"{kind}{i}"))
         named = F.lit(name.lower().endswith(NAME_SUFFIXES)) & (F.col("_rows") > 0)
         kinds = [F.when(F.col(f"{kind}{i}"), F.lit(kind)) for kind in _PATTERNS]
         found = F.array_sort(F.array_compact(F.array(*kinds, F.when(named, F.lit("NAME")))))
         entries.append(F.struct(F.lit(name).alias("field"), found.alias("pii_types")))
-    return df.agg(*aggs).select(F.inline(F.array(*entries))).where(F.size("pii_types") > 0)
+    return spread(df).agg(*aggs).select(F.inline(F.array(*entries))).where(F.size("pii_types") > 0)
 
 
 def pii_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(field, pii_type, hits, rows_hit): matches of each pattern per column."""
     dtypes = dict(df.dtypes)
-    aggs, entries = [], []
+    counts, aggs, entries = [], [], []
     for i, name in enumerate(columns or df.columns):
-        value = _text(name, dtypes[name])
-        for kind, pattern in _PATTERNS.items():
-            n = F.regexp_count(value, F.lit(pattern))
-            aggs += [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"h{kind}{i}"),
-                     F.count_if(n > 0).alias(f"r{kind}{i}")]
+        for kind in _PATTERNS:
+            n = f"{kind}{i}"
+            counts.append(_hits(_text(name, dtypes[name]), kind).alias(n))
+            aggs += [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"h{n}"), F.count_if(F.col(n) > 0).alias(f"r{n}")]
             entries.append(F.struct(F.lit(name).alias("field"), F.lit(kind).alias("pii_type"),
-                                    F.col(f"h{kind}{i}").alias("hits"), F.col(f"r{kind}{i}").alias("rows_hit")))
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+                                    F.col(f"h{n}").alias("hits"), F.col(f"r{n}").alias("rows_hit")))
+    return spread(df).select(*counts).agg(*aggs).select(F.inline(F.array(*entries)))
 
 
 def mask_value(col: Column, strategy: str | None) -> Column:

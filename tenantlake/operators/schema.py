@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenantlake.session import spread
 from tenantlake.sources.tables import VersionedTable
 
 # JSON-schema scalar -> Spark type.
@@ -82,41 +83,49 @@ class TableSchema:
         return spark.createDataFrame([(n, t, n in self.required) for n, t in self.properties.items()], FIELDS_DDL)
 
 
-def _text_flags(value: Column) -> dict[str, Column]:
-    return {
-        "boolean": F.lower(value).isin("true", "false", "0", "1"),
-        "integer": value.rlike(_INT_TEXT),
-        "number": value.rlike(_FLOAT_TEXT),
-    }
+# What a filled text cell can be, as bits: each class names all the types it still fits.
+_CELL_BITS = {"word": 1, "digit": 2, "whole": 4, "number": 8, "text": 16}
+
+
+def _cell_bit(value: Column) -> Column:
+    """Bit of a trimmed cell: true/false, 0/1, other integer, other number, text; null when blank."""
+    low = F.lower(value)
+    return (F.when(value.isNull() | (value == ""), F.lit(None).cast("int"))
+            .when(value.isin("0", "1"), _CELL_BITS["digit"])
+            .when(low.isin("true", "false"), _CELL_BITS["word"])
+            .when(value.rlike(_INT_TEXT), _CELL_BITS["whole"])
+            .when(value.rlike(_FLOAT_TEXT), _CELL_BITS["number"])
+            .otherwise(_CELL_BITS["text"]))
 
 
 def infer_csv_schema(df: DataFrame) -> DataFrame:
     """(field, type, required) of a table of text cells, from all of its rows in one aggregate.
 
     Blank cells are ignored for the type; a field is required when no row leaves it blank. A column
-    of only 0 and 1 is boolean.
+    of only 0 and 1 is boolean. Each cell is read once, to a bit; the bits are or-ed per column.
     """
     named = [c for c in df.columns if c.strip(_BLANKS)]
     if not named:
         raise SchemaError("CSV data has no header row")
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(named):
-        value = F.btrim(F.col(f"`{name}`").cast("string"), F.lit(_BLANKS))
-        filled = value.isNotNull() & (value != "")
-        aggs.append(F.count_if(filled).alias(f"n{i}"))
-        for kind, flag in _text_flags(value).items():
-            aggs.append(F.count_if(filled & flag).alias(f"{kind}{i}"))
+    cells = spread(df).select(*[F.btrim(F.col(f"`{c}`").cast("string"), F.lit(_BLANKS)).alias(f"v{i}")
+                                for i, c in enumerate(named)])
+    bits = cells.select(*[_cell_bit(F.col(f"v{i}")).alias(f"b{i}") for i in range(len(named))])
+    seen = bits.agg(F.count(F.lit(1)).alias("rows"), *[
+        agg.alias(f"{tag}{i}") for i in range(len(named))
+        for tag, agg in (("n", F.count(f"b{i}")), ("bits", F.bit_or(f"b{i}")))])
+    word, digit, whole, number = (_CELL_BITS[k] for k in ("word", "digit", "whole", "number"))
     entries = []
     for i, name in enumerate(named):
-        filled = F.col(f"n{i}")
-        kind = (F.when(filled == 0, "string")
-                .when(F.col(f"boolean{i}") == filled, "boolean")
-                .when(F.col(f"integer{i}") == filled, "integer")
-                .when(F.col(f"number{i}") == filled, "number")
-                .otherwise("string"))
+        filled, held = F.col(f"n{i}"), F.col(f"bits{i}")
+
+        def only(mask: int) -> Column:
+            return held.bitwiseAND(F.lit(~mask & 31)) == 0
+
+        kind = (F.when(filled == 0, "string").when(only(word | digit), "boolean").when(only(digit | whole), "integer")
+                .when(only(digit | whole | number), "number").otherwise("string"))
         entries.append(F.struct(F.lit(name.strip(_BLANKS)).alias("field"), kind.alias("type"),
                                 ((filled > 0) & (filled == F.col("rows"))).alias("required")))
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    return seen.select(F.inline(F.array(*entries)))
 
 
 def _variant_kind(value: Column) -> Column:

@@ -26,16 +26,16 @@ def bronze_round_trip(spark, sf):
     return back.select("batch_id", "price", F.lpad(F.col("day").cast("string"), 2, "0").alias("day"))
 
 
-@query("silver_day_rewrite", "SNK-2 SNK-3 SRC-2", """SELECT cmo_id, data_domain, count(*) AS n, sum(quantity) AS quantity FROM v_batch_records
-WHERE quality_status = 'PASS' GROUP BY 1, 2""", _REC)
+@query("silver_day_rewrite", "SNK-2 SNK-3 SRC-2", """SELECT data_domain, count(*) AS n, sum(quantity) AS quantity FROM v_batch_records
+WHERE quality_status = 'PASS' GROUP BY 1""", _REC)
 def silver_day_rewrite(spark, sf):
-    """All suppliers' rows written, then the day written again with the passing rows only: the day is replaced."""
+    """All rows written by domain, then the day written again with the passing rows only: the day is replaced."""
     root = scratch_path(spark, "lake")
-    rows = B.batch_records(spark, sf).select("batch_id", "cmo_id", "data_domain", "quantity", "quality_status")
-    sinks.write_silver(rows, root, None, None, DAY)
-    sinks.write_silver(rows.where(F.col("quality_status") == "PASS"), root, None, None, DAY)
-    back = readers.read_silver(spark, root, date=DAY)
-    return back.groupBy("cmo_id", "data_domain").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+    rows = B.batch_records(spark, sf).select("batch_id", "data_domain", "quantity", "quality_status")
+    sinks.write_silver(rows, root, "cmo-1", None, DAY)
+    sinks.write_silver(rows.where(F.col("quality_status") == "PASS"), root, "cmo-1", None, DAY)
+    back = readers.read_silver(spark, root, cmo_id="cmo-1", date=DAY)
+    return back.groupBy("data_domain").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
 
 
 @query("quarantined_rows", "SNK-4", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN product_id IS NULL THEN 'schema_validation_failure'

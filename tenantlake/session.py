@@ -72,3 +72,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
+    """Redistribute a scan that offers fewer splits than there are cores, before CPU-heavy work on it.
+
+    A delivered file with one row group, or a compressed text file, is one task however large it is.
+    Inputs that already have splits enough, or come out of a shuffle, are returned as they are.
+    """
+    if df.isStreaming:
+        return df
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if execution.toRdd().getNumPartitions() >= cores or int(str(execution.optimizedPlan().stats().sizeInBytes())) < min_bytes:
+        return df
+    return df.repartition(cores)
