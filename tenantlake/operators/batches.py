@@ -160,9 +160,12 @@ def batch_board(batches: DataFrame, suppliers: DataFrame, products: DataFrame,
     names = suppliers.select("cmo_id", "organization_name")
     items = products.select("product_id", "product_name")
     rows = completeness(batches).join(names, "cmo_id", "left").join(items, "product_id", "left")
+    if sort_by is not None:
+        # before the display columns, so the sort's sampling pass does not compute them
+        rows = rows.orderBy(F.desc(sort_by), "batch_id")
     late = F.transform(F.filter("data_elements", lambda e: F.coalesce(e["overdue"], F.lit(False))),
                        lambda e: e["element_type"])
-    board = rows.select(
+    return rows.select(
         "batch_id", "lot_number", F.coalesce("organization_name", "cmo_id").alias("supplier"),
         F.coalesce("product_name", "product_id").alias("product"), "manufacturing_date",
         F.concat(F.col("received_count").cast("string"), F.lit(f"/{len(REQUIRED_ELEMENTS)}")).alias("completeness"),
@@ -170,7 +173,6 @@ def batch_board(batches: DataFrame, suppliers: DataFrame, products: DataFrame,
         F.when(F.size(late) > 0, S.join_labels(late, labels)).otherwise("None").alias("overdue"),
         F.when(F.size("missing_elements") > 0, S.join_labels(F.col("missing_elements"), labels))
         .otherwise("All received").alias("missing"))
-    return board if sort_by is None else board.orderBy(F.desc(sort_by), "batch_id")
 
 
 def file_status(manifest: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -71,6 +71,23 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1.0).otherwise(0.0)
 
 
+def _number(column: str) -> Column:
+    return F.col(f"`_num_{column}`")
+
+
+def _with_numbers(df: DataFrame, rules: Sequence[_Keyword]) -> DataFrame:
+    """Numeric forms of the columns that numeric keywords read, coerced once per row."""
+    dtypes = dict(df.dtypes)
+    numeric = ("ColumnValues", "Mean", "Sum", "StandardDeviation", "ColumnCorrelation")
+    used = dict.fromkeys(a for r in rules if r.word in numeric for a in r.args if a in dtypes)
+    return df.withColumns({f"_num_{a}": S.to_number(F.col(f"`{a}`"), dtypes[a]) for a in used}) if used else df
+
+
+def distinct_count(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Distinct non-null keys as a scalar subquery that reads the key columns only."""
+    return df.agg(F.count_distinct(*[F.col(f"`{c}`") for c in columns]).alias("n")).scalar()
+
+
 def _fused(rule: _Keyword, df: DataFrame, now: dt.datetime | None) -> Column | None:
     """Aggregate expression of a keyword that needs only this table's rows, else None."""
     dtypes = dict(df.dtypes)
@@ -92,12 +109,11 @@ def _fused(rule: _Keyword, df: DataFrame, now: dt.datetime | None) -> Column | N
     if word == "Completeness":
         return _ratio(F.count(col), rows)
     if word == "IsUnique":
-        return _flag(F.count_distinct(col) == F.count(col))
+        return _flag(distinct_count(df, args) == F.count(col))
     if word == "Uniqueness":
-        return _ratio(F.count_distinct(col), F.count(col))
+        return _ratio(distinct_count(df, args[:1]), F.count(col))
     if word == "IsPrimaryKey":
-        keys = [F.col(f"`{a}`") for a in args]
-        return _flag(F.count_distinct(*keys) == rows)
+        return _flag(distinct_count(df, args) == rows)
     if col is None:
         return None
     if word == "ColumnValues":
@@ -106,7 +122,7 @@ def _fused(rule: _Keyword, df: DataFrame, now: dt.datetime | None) -> Column | N
         if parsed.form != "any":
             condition = value_ok(parsed, col, dtypes[args[0]])
         elif rule.cond:
-            number, bound = S.to_number(col, dtypes[args[0]]), float(rule.cond.group(2))
+            number, bound = _number(args[0]), float(rule.cond.group(2))
             condition = {">": number > bound, ">=": number >= bound, "<": number < bound, "<=": number <= bound,
                          "=": number == bound, "!=": number != bound}[rule.cond.group(1)]
         return _ratio(F.count_if(col.isNotNull() & condition), F.count(col))
@@ -117,18 +133,17 @@ def _fused(rule: _Keyword, df: DataFrame, now: dt.datetime | None) -> Column | N
         castable = S.as_text(col, dtypes[args[0]]).try_cast(target)
         return _ratio(F.count(castable), F.count(col))
     if word == "Mean":
-        return F.avg(S.to_number(col, dtypes[args[0]]))
+        return F.avg(_number(args[0]))
     if word == "Sum":
-        return F.sum(S.to_number(col, dtypes[args[0]]))
+        return F.sum(_number(args[0]))
     if word == "StandardDeviation":
-        return F.stddev_samp(S.to_number(col, dtypes[args[0]]))
+        return F.stddev_samp(_number(args[0]))
     if word == "ColumnCorrelation":
         if len(known) < 2:
             return None
-        a, b = (S.to_number(F.col(f"`{x}`"), dtypes[x]) for x in args[:2])
-        return F.corr(a, b)
+        return F.corr(_number(args[0]), _number(args[1]))
     if word == "DistinctValuesCount":
-        return F.count_distinct(col)
+        return distinct_count(df, args[:1]) + rows * 0
     if word == "DataFreshness":
         if now is None:
             raise QualityError("DataFreshness needs the current instant")
@@ -242,7 +257,7 @@ def evaluate_keywords(df: DataFrame, texts: Sequence[str], references: Mapping[s
             continue
         out.append(_separate(rule, df, references).select(*rule.result(F.col("actual"))))
     if fused:
-        measured = df.agg(*[expr.cast("double").alias(f"_m{rule.order}") for rule, expr in fused])
+        measured = _with_numbers(df, rules).agg(*[expr.cast("double").alias(f"_m{rule.order}") for rule, expr in fused])
         entries = [F.struct(*rule.result(F.col(f"_m{rule.order}"))) for rule, _ in fused]
         out.insert(0, measured.select(F.inline(F.array(*entries))))
     result = out[0]
