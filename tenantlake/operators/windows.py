@@ -17,18 +17,20 @@ from tenantlake.session import cut
 _SLICE = "_slice"
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column],
+                   slices: int | None = None) -> DataFrame:
     """Add one running-sum column per entry of ``totals``, per key, in ``order``.
 
     ``order`` should identify a row within its key: rows that tie on it cannot be split across
     slices. Keys must not be null. The slices are fixed by a reliable checkpoint, because they
-    are read twice and must be identical both times.
+    are read twice and must be identical both times. Their number follows the shuffle partitions
+    (adaptive execution merges small ones) unless given.
     """
     keys, order = list(keys), list(order)
     inputs = {f"_in_{name}": expr for name, expr in totals.items()}
     sliced = cut(
         df.select("*", *[expr.cast("bigint").alias(name) for name, expr in inputs.items()])
-        .repartitionByRange(*keys, *order)
+        .repartitionByRange(*([slices] if slices else []), *keys, *order)
         .withColumn(_SLICE, F.spark_partition_id())
     )
     per_slice = sliced.groupBy(*keys, _SLICE).agg(*[F.sum(c).alias(f"{c}_sum") for c in inputs])
