@@ -52,7 +52,7 @@ class _Node:
     @property
     def is_whole(self) -> Column:
         # true and false count as whole numbers, as they do for the contract authors' tools
-        return F.coalesce(self.kind.rlike(r"^(BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"), F.lit(False))
+        return F.coalesce(self.kind.rlike(r"^(BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DECIMAL\((19|[23]\d),0\))$"), F.lit(False))
 
     @property
     def is_number(self) -> Column:

@@ -128,11 +128,15 @@ def infer_csv_schema(df: DataFrame) -> DataFrame:
     return seen.select(F.inline(F.array(*entries)))
 
 
+# A whole number too long for bigint; a short DECIMAL(p,0) was written with a fraction, as in 7.0.
+_LONG_INTEGER = r"^DECIMAL\((19|[23]\d),0\)$"
+
+
 def _variant_kind(value: Column) -> Column:
     """JSON-schema type of a variant; null counts as string."""
     kind = F.schema_of_variant(value)
     return (F.when(kind == "BOOLEAN", "boolean")
-            .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+            .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(_LONG_INTEGER), "integer")
             .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number")
             .when(kind.startswith("ARRAY"), "array")
             .when(kind.startswith("OBJECT"), "object")
@@ -156,7 +160,7 @@ def infer_json_schema(df: DataFrame, json_col: str = "json") -> DataFrame:
     pairs = records.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("doc").outer()))
     total = df.agg(F.count(F.lit(1))).scalar()
     kinds = ("string", "integer", "number", "boolean", "array", "object")
-    seen = (pairs.select("key", _variant_kind(F.col("value")).alias("kind"))
+    seen = (pairs.where(F.col("key").isNotNull()).select("key", _variant_kind(F.col("value")).alias("kind"))
             .groupBy("key")
             .agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(F.col("kind") == k).alias(k) for k in kinds]))
     n_kinds = sum((F.col(k).cast("int") for k in kinds), F.lit(0))
@@ -213,7 +217,7 @@ def infer_first_row_schema(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def infer_first_record_schema(df: DataFrame, json_col: str, order_by: Sequence[str]) -> DataFrame:
     """First-record inference for JSON: numbers with a fraction are ``double``."""
     first = df.orderBy(*order_by).limit(1).select(F.try_parse_json(F.col(json_col)).alias("doc"))
-    pairs = first.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("doc")))
+    pairs = first.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("doc").outer())).where(F.col("key").isNotNull())
     kind = _variant_kind(F.col("value"))
     return pairs.select(F.col("key").alias("field"), F.when(kind == "number", "double").otherwise(kind).alias("type"),
                         F.lit(True).alias("nullable"))
