@@ -47,3 +47,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], tot
 def sequence_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """1, 2, 3 ... per key in ``order``, balanced for hot keys."""
     return running_totals(df, keys, order, {name: F.lit(1)})
+
+
+def global_rank(df: DataFrame, value: str, tie: str, name: str, descending: bool = True) -> DataFrame:
+    """``rank()`` over the whole table without one task holding it: equal values share the first place.
+
+    Rows are numbered across range slices; each distinct value takes the lowest number of its rows.
+    """
+    numeric = F.col(value)
+    keyed = df.withColumns({"_all": F.lit(0), "_sort": -numeric if descending else numeric})
+    numbered = sequence_numbers(keyed, ["_all"], ["_sort", tie], "_n")
+    places = numbered.groupBy(value).agg(F.min("_n").alias(name))
+    return df.join(places, value).select(*df.columns, name)

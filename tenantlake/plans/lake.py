@@ -137,3 +137,36 @@ def gold_datasets_from_silver(spark, sf):
     root = scratch_path(spark, "lake")
     sinks.write_gold(gold.supplier_scorecard(B.batch_records(spark, sf)), root, "cmo-performance-dashboard", DAY)
     return gold.dataset(readers.read_gold(spark, root, "cmo-performance-dashboard"), "sla-compliance").select("cmo_id", "total_records", "fail_count")
+
+
+@query("delivered_files_read_back", "SRC-6 SCH-10", """SELECT 'csv' AS fmt, batch_id, CASE WHEN quantity = floor(quantity) THEN CAST(quantity AS BIGINT) END AS quantity FROM v_batch_records
+UNION ALL SELECT 'json', batch_id, CAST(quantity AS BIGINT) FROM v_batch_records UNION ALL SELECT 'parquet', batch_id, CAST(quantity AS BIGINT) FROM v_batch_records""", _REC)
+def delivered_files_read_back(spark, sf):
+    """The records delivered in each format and read with the registered schema."""
+    from tenantlake.operators.schema import TableSchema
+
+    root = scratch_path(spark, "delivered")
+    rows = B.batch_records(spark, sf).select("batch_id", F.col("quantity").cast("bigint").alias("quantity"))
+    rows.write.option("header", True).csv(f"{root}/csv")
+    rows.write.json(f"{root}/json")
+    rows.write.parquet(f"{root}/parquet")
+    schema = TableSchema({"batch_id": "string", "quantity": "integer"}).struct_type()
+    out = None
+    for fmt in ("csv", "json", "parquet"):
+        options = {"multi_line": False} if fmt == "json" else {}
+        part = readers.read_delivered(spark, f"{root}/{fmt}", fmt, schema, **options).select(F.lit(fmt).alias("fmt"), "batch_id", "quantity")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("load_runs_once", "OPS-9 SNK-1", "SELECT count(*) AS rows_loaded, sum(quantity) AS quantity FROM v_batch_records", _REC)
+def load_runs_once(spark, sf):
+    """The same append submitted twice under one key: the second run is skipped."""
+    from tenantlake.sources.tables import VersionedTable
+
+    root = scratch_path(spark, "lake")
+    ledger = VersionedTable(spark, f"{root}/ledger")
+    rows = B.batch_records(spark, sf).select("batch_id", "quantity")
+    for now in (1000.0, 1001.0):
+        failures.run_once(spark, ledger, "cmo-1|batch-records", lambda: sinks.write_bronze(rows, root, "cmo-1", "batch-records", DAY), now)
+    return readers.read_bronze(spark, root).agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum("quantity").alias("quantity"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenantlake.operators import sqlsurface as Q
+from tenantlake.operators.windows import global_rank
 from tenantlake.plans import bindings as B
 from tenantlake.plans.registry import REGISTRY, Entry, query
 
@@ -86,14 +87,11 @@ def failed_checks_last_days(spark, sf):
     return B.executions(spark, sf).where(~F.col("success") & (F.col("ts") >= since)).select("execution_id", "contract_id")
 
 
-@query("rank_by_yield", "SQL-8", """SELECT cmo_id, round(avg(yield_value), 2) AS avg_yield, CAST(rank() OVER (ORDER BY round(avg(yield_value), 2) DESC) AS INTEGER) AS place
+@query("rank_by_yield", "SQL-8", """SELECT cmo_id, round(avg(yield_value), 2) AS avg_yield, rank() OVER (ORDER BY round(avg(yield_value), 2) DESC) AS place
 FROM v_batches GROUP BY 1""", ("v_batches",))
 def rank_by_yield(spark, sf):
-    from pyspark.sql import Window
-
     per = B.batch_heads(spark, sf).groupBy("cmo_id").agg(F.round(F.avg("yield_value"), 2).alias("avg_yield"))
-    # one row per supplier is left when the ranking is made
-    return per.withColumn("place", F.rank().over(Window.orderBy(F.desc("avg_yield"))))
+    return global_rank(per, "avg_yield", "cmo_id", "place")
 
 
 @query("sla_rate_by_domain", "SQL-9", """SELECT data_domain, round(avg(CASE WHEN execution_time_seconds / 3600 <= max_delay_hours THEN 100.0::DOUBLE ELSE 0 END), 6) AS sla_rate

@@ -102,21 +102,6 @@ def test_jdbc_options():
     assert readers.table_mappings({"tableMappings": [{"sourceTable": "t", "dataDomain": "A B"}]}, "d") == [("t", "a-b")]
 
 
-def test_jdbc_extract_from_embedded_database(spark):
-    """An in-memory database of this process, written and read through Spark."""
-    conn = {"connectionUrl": "jdbc:derby:memory:lake;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    options = readers.jdbc_options(conn)
-    try:
-        spark.range(100).selectExpr("cast(id as int) as id", "id * 2 as v").write.format("jdbc").options(**options).option("dbtable", "src").mode("overwrite").save()
-    except Exception as exc:
-        pytest.skip(f"no embedded database: {exc}")
-    split = readers.read_jdbc(spark, conn, "src", "id", 4)
-    assert split.rdd.getNumPartitions() == 4 and split.agg(F.sum("v")).first()[0] == 9900
-    assert readers.read_jdbc(spark, conn, 'SELECT "id" FROM src WHERE "id" < 7').count() == 7
-    conn["tableMappings"] = [{"sourceTable": "src", "dataDomain": "A"}, {"sourceTable": "src", "dataDomain": "a"}]
-    assert readers.extract_tables(spark, conn, "d")["a"].count() == 200
-
-
 def _drop(root, key, text="x"):
     path = os.path.join(root, key)
     os.makedirs(os.path.dirname(path), exist_ok=True)
