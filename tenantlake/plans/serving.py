@@ -456,8 +456,9 @@ SELECT concat('s3://lake/', path) AS full_path, 'lake' AS bucket, 'bronze' AS la
   true AS is_bronze, false AS is_gold FROM v_manifest""", ("v_manifest",))
 def parsed_paths(spark, sf):
     full = F.concat(F.lit("s3://lake/"), F.col("path"))
-    parsed = B.manifest(spark, sf).select(full.alias("full_path"), P.parse_path(full).alias("p"),
-                                          P.path_valid(full, "bronze").alias("is_bronze"), P.path_valid(full, "gold").alias("is_gold"))
-    return parsed.select("full_path", "p.bucket", "p.layer", "p.cmo_id", "p.data_domain",
+    files = B.manifest(spark, sf).select(full.alias("full_path"))
+    checked = files.select("full_path", P.path_valid(F.col("full_path"), "bronze").alias("is_bronze"),
+                           P.path_valid(F.col("full_path"), "gold").alias("is_gold"))
+    return P.with_parsed_path(checked, "full_path", "p").select("full_path", "p.bucket", "p.layer", "p.cmo_id", "p.data_domain",
                          F.try_element_at("p.partitions", F.lit("year")).alias("year"),
                          F.try_element_at("p.partitions", F.lit("day")).alias("day"), "is_bronze", "is_gold")

@@ -201,6 +201,8 @@ def test_odd_paths(spark):
     assert got[1][0].aggregation_type == "daily" and got[1][0].partitions == {"year": "2024"} and got[1][0].cmo_id is None
     assert [g[0] is None for g in got] == [False, False, True, True, False, False] and [g[1] for g in got] == [True, True, False, False, False, True]
     assert got[5][0].partitions == {"k": "2=3"}
+    steps = P.with_parsed_path(spark.createDataFrame([(t,) for t in texts], "p string"), "p", "x")
+    assert [r.x for r in steps.collect()] == [g[0] for g in got]
     assert spark.range(1).select(P.layer_path("b", "bronze", "alpha", "d")).first()[0] is None
     with pytest.raises(ValueError):
         P.layer_path("b", "lead", "cmo-a", "d")
