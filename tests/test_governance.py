@@ -231,7 +231,8 @@ def test_guarded_session_holds_only_permitted_tables(spark, tmp_path):
     got = Q.guarded_sql(spark, "SELECT id FROM mine", tables)
     assert got.count() == 1000 and got.dtypes == [("id", "string")]
     assert Q.guarded_select(spark, "SELECT count(*) FROM (WITH x AS (SELECT id FROM mine) SELECT * FROM x)", tables).first()[0] == 2000
-    for sql in ("SELECT * FROM hidden.secret", "SELECT * FROM plain_secret", f"SELECT * FROM parquet.`{path}`", "SELECT * FROM mine WHERE id IN (SELECT id FROM plain_secret)"):
+    for sql in ("SELECT * FROM hidden.secret", "SELECT * FROM plain_secret", f"SELECT * FROM parquet.`{path}`", "SELECT * FROM mine WHERE id IN (SELECT id FROM plain_secret)",
+                "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM mine"):
         with pytest.raises(Exception):
             Q.guarded_select(spark, sql, tables).collect()
 
