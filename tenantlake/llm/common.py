@@ -83,12 +83,21 @@ class HashIndex:
     _MIX = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, keys: np.ndarray):
+        self.keys = np.zeros(0, np.uint64)
+        self.add(keys)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Further distinct keys, at the positions after those there are."""
         keys = np.ascontiguousarray(keys, np.uint64)
-        bits = max(4, int(max(1, len(keys)) * 3 - 1).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.place = np.full(1 << bits, -1, np.int32)
-        self.keys = keys
-        todo, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        old = len(self.keys)
+        self.keys = np.concatenate((self.keys, keys))
+        if not old or 2 * len(self.keys) > len(self.place):
+            bits = max(4, int(max(1, len(self.keys)) * 3 - 1).bit_length())
+            self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+            self.place = np.full(1 << bits, -1, np.int32)
+            old = 0
+        todo = np.arange(old, len(self.keys), dtype=np.int32)
+        slot = self._slots(self.keys[old:])
         while len(todo):
             free = self.place[slot] < 0
             self.place[slot[free]] = todo[free]
@@ -113,3 +122,24 @@ class HashIndex:
             again = (got >= 0) & (self.keys[got] != keys[todo])
             todo, slot = todo[again], slot[again]
         return out
+
+
+_BASE = 0x9DDFEA08EB382D69
+_powers: list[np.ndarray] = []
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` for many slices at once, from one running sum."""
+    n = len(data)
+    if not _powers or len(_powers[0]) < n + 1:
+        size = max(n + 1, 2 * CHUNK_BYTES)
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))))
+                      for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    up, down = _powers
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    out = (total[ends] - total[starts]) * down[starts]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
