@@ -52,8 +52,11 @@ def _token(token: str) -> tuple[int, int]:
     return got
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers and their values; none for a text without tokens."""
+def features(text: str, fading: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers and their values; none for a text without tokens.
+
+    A word counts as one, or, if ``fading``, as less the more different words the text has.
+    """
     tokens = text.split()
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0)
@@ -66,13 +69,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     share = np.bincount(where, counts) / n
     repeats = sum(map(eq, tokens, tokens[1:])) / n
     number = np.concatenate((words, shapes, [feature("repeats"), feature("few distinct")]))
-    # a word's value falls with the number of words, so that a long text isn't all words
-    value = np.concatenate((np.full(len(words), 1 / np.sqrt(8 + len(words)) * 2), np.sqrt(share),
-                            [np.sqrt(repeats) * 2, np.sqrt(max(0.0, 1 - len(bag) / n))]))
+    word = 2 / np.sqrt(8 + len(words)) if fading else 1.0
+    value = np.concatenate((np.full(len(words), word), 2 * np.sqrt(share), [2 * np.sqrt(repeats), np.sqrt(max(0.0, 1 - len(bag) / n))]))
     return number, value
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], rows: int = SAMPLE) -> tuple:
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], rows: int, fading: bool) -> tuple:
     """Features (start, number, value) and labels of at most ``rows`` labelled documents, in the order of doc_id.
 
     Label rows with a null id or a null in any of ``columns`` don't count; several rows of one id count as their
@@ -86,7 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(t) for t in as_text(batch.column(1))]
+            got = [features(t, fading) for t in as_text(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n.tolist() for n, _ in got], pa.list_(pa.int32())),
                  pa.array([v.tolist() for _, v in got], pa.list_(pa.float32())), *batch.columns[2:]],

@@ -38,7 +38,7 @@ class OrdinalModel:
     grades: np.ndarray
 
     def score(self, text: str) -> float:
-        number, value = features(text)
+        number, value = features(text, True)
         return float((self.weights[number] * value).sum())
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ def fit_ordinal(start: np.ndarray, number: np.ndarray, value: np.ndarray, y: np.
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", rows: int = SAMPLE) -> OrdinalModel:
     """The model of a bounded sample of rated documents."""
-    start, number, value, y, _ = labelled_sample(docs, labels, (grade,), rows)
+    start, number, value, y, _ = labelled_sample(docs, labels, (grade,), rows, True)
     return fit_ordinal(start, number, value, y[:, 0])
 
 

@@ -19,8 +19,8 @@ from tenantlake.llm.common import as_text
 from tenantlake.llm.hashed_text import DIMENSIONS, SAMPLE, features, labelled_sample, row_sums, telling
 
 FOLDS = 4
-STEPS = 150
-RATE = 0.2
+STEPS = 200
+RATE = 0.3
 PENALTY = 1e-5
 TOXIC_AT = 0.5
 
@@ -92,7 +92,7 @@ def chained(text: Column, links: list[Link], categories: tuple[str, ...]) -> Col
             texts = as_text(batch)
             out = np.zeros((len(texts), len(links)))
             for i, t in enumerate(texts):
-                number, value = features(t)
+                number, value = features(t, False)
                 for c, link in enumerate(links):
                     out[i, c] = _logistic((link.weights[number] * value).sum() + out[i, :c] @ link.earlier + link.bias)
             yield pa.StructArray.from_arrays([pa.array(out[:, c]) for c in range(len(links))], names=list(categories))
@@ -107,7 +107,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ..
     ``labels`` holds doc_id and a 0/1 column for each category. Null and empty texts get what the biases say.
     Without labelled documents nothing is toxic. Repeated rows are each scored.
     """
-    start, number, value, y, doc_ids = labelled_sample(docs, labels, categories, rows)
+    start, number, value, y, doc_ids = labelled_sample(docs, labels, categories, rows, False)
     links = fit_chain(start, number, value, y, doc_ids)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), chained(F.col("text"), links, categories).alias("p")).select(
         "doc_id", *[F.col(f"p.{c}").alias(f"p_{c}") for c in categories],
