@@ -146,15 +146,17 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    smooth = _smoothed([len(t) / max(1, tags) for t, tags, _, _ in lines], sigma)
+    ratios = [len(t) / max(1, tags) for t, tags, _, _ in lines]
+    smooth = _smoothed(ratios, sigma)
     mean = sum(smooth) / len(smooth)
     threshold = min(max(smooth), math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
     content = [x >= threshold for x in smooth]
     roots = {root for (_, _, _, root), yes in zip(lines, content) if yes and root}
     if roots:  # the page marks its article
         return "\n".join(t for t, _, _, root in lines if root in roots)
-    holders = {element for (_, _, element, _), yes in zip(lines, content) if yes}
-    return "\n".join(t for (t, _, element, _), yes in zip(lines, content) if yes or element in holders)
+    # elsewhere an element is content if one of its own lines is, not only its neighbours'
+    holders = {element for (_, _, element, _), yes, r in zip(lines, content, ratios) if yes and r >= threshold}
+    return "\n".join(t for (t, _, element, _), yes in zip(lines, content) if element in holders or (yes and not holders))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", sigma: float = SIGMA) -> DataFrame:

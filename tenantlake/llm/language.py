@@ -66,7 +66,6 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             key = key << np.uint64(16) | letters[i:last + i]
             if 0 < i < n - 1:
                 ok &= ~blank[i:last + i]
-        ok &= ~(blank[:last] & blank[n - 1:])
         found.append((owner[:last][ok], key[ok]))
     return np.concatenate([o for o, _ in found]), np.concatenate([k for _, k in found])
 

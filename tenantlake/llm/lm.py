@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from tenantlake.llm.common import HashIndex, as_bytes, chunks, crc_bucket, doc_texts
 from tenantlake.session import stage
 
-DEPTH = 4
+DEPTH = 5
 #: Rows of a table that one broadcast holds; a larger table is scored slice by slice and the slices' sums added.
 WORD_ROWS = 4 << 20
-GRAM_ROWS = 2 << 20
+GRAM_ROWS = 4 << 20
 #: Distinct entries that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
 HELD_GRAMS = 4 << 20
