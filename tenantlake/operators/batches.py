@@ -72,11 +72,13 @@ def new_batches(requests: DataFrame, now: Column) -> DataFrame:
 def apply_receipts(batches: DataFrame, receipts: DataFrame) -> DataFrame:
     """Mark received elements from (batch_id, element_type, received_at, s3_path) rows.
 
-    The first receipt time is kept, the latest non-null path wins. Receipts are aggregated to one row
+    The first receipt time is kept, the latest non-null path wins. Receipts of no or an unknown element change
+    nothing; ``rejected_receipts`` returns them. Receipts are aggregated to one row
     per batch and element, then to one small map per batch, before the single join.
     """
     newest = F.max_by("s3_path", F.when(F.col("s3_path").isNotNull(), F.struct("received_at", "s3_path")))
-    per_element = receipts.groupBy("batch_id", "element_type").agg(
+    known = receipts.where(F.col("element_type").isin(*REQUIRED_ELEMENTS, *OPTIONAL_ELEMENTS))
+    per_element = known.groupBy("batch_id", "element_type").agg(
         F.min("received_at").alias("first_at"), newest.alias("path"))
     per_batch = per_element.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(
         F.struct("element_type", F.struct("first_at", "path")))).alias("_receipts"))
@@ -95,6 +97,16 @@ def apply_receipts(batches: DataFrame, receipts: DataFrame) -> DataFrame:
         [*batches.columns, "missing_elements", "is_complete"]))
 
 
+def rejected_receipts(batches: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Receipts that ``apply_receipts`` can't use, with a ``reason``."""
+    known = batches.select(F.col("batch_id").alias("_batch")).distinct()
+    joined = receipts.join(known, receipts["batch_id"] == known["_batch"], "left")
+    reason = (F.when(F.col("element_type").isNull(), "element_type is missing")
+              .when(~F.col("element_type").isin(*REQUIRED_ELEMENTS, *OPTIONAL_ELEMENTS), "element_type is unknown")
+              .when(F.col("batch_id").isNull(), "batch_id is missing").when(F.col("_batch").isNull(), "batch is unknown"))
+    return joined.select(*receipts.columns, reason.alias("reason")).where("reason is not null")
+
+
 def flag_overdue(batches: DataFrame, contracts: DataFrame, now: Column) -> DataFrame:
     """Set ``overdue`` on unreceived elements past their deadline; adds ``newly_flagged``.
 

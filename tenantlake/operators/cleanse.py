@@ -8,6 +8,7 @@ shuffle (window group limit), so a key holding a large share of the rows is cut
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -107,8 +108,8 @@ def fill_nulls(df: DataFrame, schema: TableSchema, defaults: Mapping[str, object
 def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], keep: str = "last") -> DataFrame:
     """One row per key (null keys equal each other): the first or last in ``order_by``.
 
-    A distributed table has no file order, so the order is explicit; ties break on every comparable
-    column, which makes the result deterministic.
+    A distributed table has no file order, so the order is explicit; ties break on every
+    column (arrays and structs by their order, maps and variants by their JSON text), which makes the result deterministic.
     """
     if keep not in ("first", "last"):
         raise CleanseError(f"keep must be 'first' or 'last', got: {keep}")
@@ -117,8 +118,9 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Col
         raise CleanseError(f"Deduplication key columns not found: {gone}")
     columns = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order_by]
     named = {c for c in order_by if isinstance(c, str)} | set(keys)
-    ties = [F.col(f"`{n}`") for n, t in df.dtypes
-            if n not in named and not t.startswith(("map", "variant", "struct", "array"))]
+    # Spark orders neither maps nor variants, on their own or inside another type; their JSON text is
+    ties = [F.to_json(F.struct(F.col(f"`{n}`"))) if re.search(r"\b(map<|variant\b)", t) else F.col(f"`{n}`")
+            for n, t in df.dtypes if n not in named]
     direction = F.desc_nulls_last if keep == "last" else F.asc_nulls_first
     ordering = [direction(c) for c in [*columns, *ties]]
     rank = F.row_number().over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*ordering))

@@ -6,7 +6,9 @@ such rather than lost in a fixed schema, and each contract yields the array of e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenantlake.operators.keywords import KEYWORDS
@@ -250,12 +252,15 @@ def contract_id(name: Column, domain: Column, number: Column) -> Column:
 def assign_contract_ids(df: DataFrame, existing: DataFrame | None, order: list[str]) -> DataFrame:
     """Adds ``contract_id``: numbered per supplier and domain, after those that exist already.
 
-    Numbering is a balanced running count, so one supplier may own a large share of the rows.
+    Numbering is a balanced running count, so one supplier may own a large share of the rows. A row without a
+    supplier is numbered as supplier UNKNOWN; one without a domain stays, with a null id.
     """
     numbered = sequence_numbers(df, ["cmo_id", "data_domain"], order, "_seq")
     if existing is not None:
-        counts = existing.groupBy("cmo_id", "data_domain").agg(F.count(F.lit(1)).alias("_before"))
-        numbered = numbered.join(counts, ["cmo_id", "data_domain"], "left")
+        counts = existing.groupBy(F.col("cmo_id").alias("_cmo"), F.col("data_domain").alias("_domain")).agg(
+            F.count(F.lit(1)).alias("_before"))
+        same = numbered["cmo_id"].eqNullSafe(counts["_cmo"]) & numbered["data_domain"].eqNullSafe(counts["_domain"])
+        numbered = numbered.join(counts, same, "left").drop("_cmo", "_domain")
     else:
         numbered = numbered.withColumn("_before", F.lit(0))
     number = F.col("_seq") + F.coalesce("_before", F.lit(0))
@@ -286,13 +291,29 @@ def transitions(owner: str) -> tuple[tuple[str, tuple[str, ...], str], ...]:
             ("reject", (review, approval), "rejected"))
 
 
-def apply_transitions(contracts: DataFrame, actions: DataFrame, now: Column, owner: str = "owner") -> DataFrame:
+def _numbered(changes: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    ordering = [F.col(c).asc_nulls_last() for c in order_by or sorted(c for c in changes.columns if c != "contract_id")]
+    return changes.withColumn("_place", F.row_number().over(Window.partitionBy("contract_id").orderBy(*ordering)))
+
+
+def superseded(changes: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
+    """Changes that give way to an earlier one of the same contract in ``order_by``, with an ``error``."""
+    return _numbered(changes, order_by).where("_place > 1").drop("_place").withColumn(
+        "error", F.concat(F.lit("Superseded by an earlier change of contract '"), F.coalesce("contract_id", F.lit("")), F.lit("'")))
+
+
+def apply_transitions(contracts: DataFrame, actions: DataFrame, now: Column, owner: str = "owner",
+                      order_by: Sequence[str] = ()) -> DataFrame:
     """Contracts after one action each: (contract_id, action, actor [, reason]).
 
+    Of several actions of one contract the first in ``order_by`` (all columns, by name, if not given) is applied;
+    ``superseded`` returns the others.
+
     Adds ``error`` (illegal or unknown action), ``changed_by`` and ``changed_at``; a refused action
     leaves the contract as it was. Actions for unknown contracts come back with an error, too.
     """
     known = contracts.withColumn("_known", F.lit(True))
+    actions = _numbered(actions, order_by).where("_place = 1")
     joined = known.join(actions.select("contract_id", "action", "actor"), "contract_id", "full")
     target, legal = F.lit(None).cast("string"), F.lit(False)
     for action, allowed, to in transitions(owner):
@@ -331,14 +352,18 @@ def deployable(contracts: DataFrame) -> DataFrame:
     return contracts.withColumn("errors", errors).withColumn("is_deployable", F.size("errors") == 0)
 
 
-def upsert_contracts(contracts: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def upsert_contracts(contracts: DataFrame, changes: DataFrame, now: Column, order_by: Sequence[str] = ()) -> DataFrame:
     """The contract table after a set of changes, to be written as its next version.
 
+    Of several changes of one contract the first in ``order_by`` (all columns, by name, if not given) is applied;
+    ``superseded`` returns the others.
+
     ``changes``: (contract_id, status, and any of the updatable columns). Unknown ids are created as
     draft; known ones take the given updatable fields, and a status only if it is one of the settable
     ones. Other columns of existing contracts never change.
     """
     given = [c for c in changes.columns if c not in ("contract_id", "status")]
+    changes = _numbered(changes, order_by).where("_place = 1")
     side = changes.select("contract_id", *[F.col(c).alias(f"_new_{c}") for c in given],
                           (F.col("status") if "status" in changes.columns else F.lit(None).cast("string"))
                           .alias("_new_status"), F.lit(True).alias("_changed"))

@@ -109,7 +109,10 @@ def _fused(rule: _Keyword, df: DataFrame, now: dt.datetime | None) -> Column | N
     if word == "Completeness":
         return _ratio(F.count(col), rows)
     if word == "IsUnique":
-        return _flag(distinct_count(df, args) == F.count(col))
+        whole = F.lit(True)
+        for a in args:
+            whole = whole & F.col(f"`{a}`").isNotNull()
+        return _flag(distinct_count(df, args) == F.count_if(whole))
     if word == "Uniqueness":
         return _ratio(distinct_count(df, args[:1]), F.count(col))
     if word == "IsPrimaryKey":
@@ -188,14 +191,24 @@ def dataset_match(df: DataFrame, other: DataFrame, keys: Sequence[str],
     Rows are folded to one digest per key on each side first: duplicates of a key become one entry
     (count and order-free hash sum) instead of multiplying in the join.
     """
+    if not keys:
+        raise QualityError("DatasetMatch needs at least one key column")
     compared = [c for c in (columns or df.columns) if c not in keys]
 
     def digest(side: DataFrame, tag: str) -> DataFrame:
-        row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in compared]) if compared else F.lit(0)
-        return side.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{tag}_n"),
+        # a null is hashed as a null at its place: xxhash64 alone would skip it
+        flagged = [x for c in compared for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+        row_hash = F.xxhash64(*flagged) if compared else F.lit(0)
+        return side.groupBy(*[F.col(f"`{k}`").alias(f"{tag}_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias(f"{tag}_n"),
                                        F.sum(row_hash.cast("decimal(38,0)")).alias(f"{tag}_h"))
 
-    both = digest(df, "a").join(digest(other, "b"), list(keys), "full")
+    # a null-safe full join is not an equi-join for Spark; the flag and the value together are
+    def keyed(side: DataFrame, tag: str) -> DataFrame:
+        return side.select("*", *[F.struct(F.col(f"{tag}_k{i}").isNull(), F.col(f"{tag}_k{i}")).alias(f"_{i}")
+                                  for i in range(len(keys))])
+
+    left, right = keyed(digest(df, "a"), "a"), keyed(digest(other, "b"), "b")
+    both = left.join(right, [left[f"_{i}"] == right[f"_{i}"] for i in range(len(keys))], "full")
     same = (F.col("a_n") == F.col("b_n")) & (F.col("a_h") == F.col("b_h"))
     return both.agg(_ratio(F.count_if(same), F.count(F.lit(1))).alias("actual"))
 

@@ -22,7 +22,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], tot
     """Add one running-sum column per entry of ``totals``, per key, in ``order``.
 
     ``order`` should identify a row within its key: rows that tie on it cannot be split across
-    slices. Keys must not be null. The slices are fixed by a reliable checkpoint, because they
+    slices. Null keys equal each other. The slices are fixed by a reliable checkpoint, because they
     are read twice and must be identical both times. Their number follows the shuffle partitions
     (adaptive execution merges small ones) unless given.
     """
@@ -36,9 +36,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], tot
     per_slice = sliced.groupBy(*keys, _SLICE).agg(*[F.sum(c).alias(f"{c}_sum") for c in inputs])
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
-        *keys, _SLICE, *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_offset") for c in inputs])
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(_SLICE).alias("_at"), *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_offset") for c in inputs])
     within = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = sliced.join(offsets, [*keys, _SLICE])
+    # a null key is a key like any other
+    same = sliced[_SLICE] == offsets["_at"]
+    for i, k in enumerate(keys):
+        same = same & sliced[k].eqNullSafe(offsets[f"_key{i}"])
+    joined = sliced.join(offsets, same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_in_{name}_offset") + F.sum(f"_in_{name}").over(within)).alias(name) for name in totals])
@@ -52,10 +56,10 @@ def sequence_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], n
 def global_rank(df: DataFrame, value: str, tie: str, name: str, descending: bool = True) -> DataFrame:
     """``rank()`` over the whole table without one task holding it: equal values share the first place.
 
-    Rows are numbered across range slices; each distinct value takes the lowest number of its rows.
+    Rows are numbered across range slices; each distinct value takes the lowest number of its rows. Nulls come last.
     """
     numeric = F.col(value)
-    keyed = df.withColumns({"_all": F.lit(0), "_sort": -numeric if descending else numeric})
-    numbered = sequence_numbers(keyed, ["_all"], ["_sort", tie], "_n")
-    places = numbered.groupBy(value).agg(F.min("_n").alias(name))
-    return df.join(places, value).select(*df.columns, name)
+    keyed = df.withColumns({"_all": F.lit(0), "_none": numeric.isNull(), "_sort": -numeric if descending else numeric})
+    numbered = sequence_numbers(keyed, ["_all"], ["_none", "_sort", tie], "_n")
+    places = numbered.groupBy(F.col(value).alias("_value")).agg(F.min("_n").alias(name))
+    return df.join(places, df[value].eqNullSafe(places["_value"])).select(*df.columns, name)

@@ -229,12 +229,26 @@ def test_guarded_session_holds_only_permitted_tables(spark, tmp_path):
     spark.sql(f"CREATE TABLE IF NOT EXISTS plain_secret USING parquet LOCATION '{path}'")
     tables = {"mine": lambda s: s.read.parquet(path)}
     got = Q.guarded_sql(spark, "SELECT id FROM mine", tables)
-    assert got.count() == 1000 and got.dtypes == [("id", "string")]
+    assert got.count() == 2000 and Q.guarded_sql(spark, "SELECT id FROM mine", tables, 10).count() == 10 and got.dtypes == [("id", "string")]
     assert Q.guarded_select(spark, "SELECT count(*) FROM (WITH x AS (SELECT id FROM mine) SELECT * FROM x)", tables).first()[0] == 2000
     for sql in ("SELECT * FROM hidden.secret", "SELECT * FROM plain_secret", f"SELECT * FROM parquet.`{path}`", "SELECT * FROM mine WHERE id IN (SELECT id FROM plain_secret)",
-                "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM mine"):
-        with pytest.raises(Exception):
-            Q.guarded_select(spark, sql, tables).collect()
+                "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM mine",
+                "SELECT `reflect`('java.lang.System', 'currentTimeMillis') FROM mine",
+                "SELECT reflect /* x */ ('java.lang.System', 'currentTimeMillis') FROM mine",
+                "SELECT Try_Reflect -- y\n ('java.lang.System', 'currentTimeMillis') FROM mine",
+                "SELECT * FROM IDENTIFIER('plain_secret')", "SELECT * FROM IDENTIFIER('hidden.' || 'secret')",
+                "SELECT * FROM mine WHERE EXISTS (SELECT 1 FROM IDENTIFIER('plain_secret'))",
+                "SELECT * FROM mine WHERE EXISTS (SELECT 1 FROM plain_secret)",
+                "SELECT (SELECT max(id) FROM hidden.secret) FROM mine",
+                "SELECT id FROM mine UNION ALL SELECT id FROM plain_secret",
+                "SELECT id FROM mine UNION ALL SELECT id FROM IDENTIFIER('plain_secret')",
+                "SELECT * FROM (WITH y AS (SELECT * FROM plain_secret) SELECT * FROM y)",
+                "SELECT * FROM (WITH plain_secret AS (SELECT 1) SELECT * FROM plain_secret)"):
+        with pytest.raises(Q.SqlRejected):
+            Q.guarded_select(spark, sql, tables)
+    for sql in ("SELECT 'reflect(x)' AS a, `id` FROM mine", "SELECT m.id FROM mine m JOIN range(5) r ON m.id = r.id",
+                "SELECT id FROM mine WHERE id IN (SELECT max(id) FROM mine)"):
+        assert Q.guarded_select(spark, sql, tables).columns
 
 
 @pytest.mark.parametrize("text,sql", [("x ```sql\nSELECT 1\n``` y", "SELECT 1"), ("```\nselect 2```", "select 2"), ("  SELECT 3 ", "SELECT 3"),
