@@ -101,7 +101,7 @@ def _unpacked(df: DataFrame, doc: str) -> DataFrame:
     Each projection is kept apart by the optimizer because its columns are read many times, so the
     document is parsed once and each field looked up once.
     """
-    out = spread(df, 1 << 20).withColumn("_root", F.try_parse_json(F.col(doc)))
+    out = spread(df).withColumn("_root", F.try_parse_json(F.col(doc)))
     out = out.withColumns({f"_{n}": _field(F.col("_root"), n) for n in REQUIRED_FIELDS})
     parts = {f"_{s}_{n}": _field(F.col(f"_{s}"), n) for s, names in _SECTIONS.items() for n in names}
     rules = F.try_variant_get(F.col("_qualityRules"), "$", "array<variant>")

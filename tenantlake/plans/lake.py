@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tenantlake.operators import access, failures, gold, quality, sla
 from tenantlake.plans import bindings as B
 from tenantlake.plans.registry import query
-from tenantlake.session import scratch_path
+from tenantlake.session import scratch_path, stage
 from tenantlake.sources import readers, sinks
 
 DAY = dt.date(2001, 1, 5)
@@ -48,6 +48,13 @@ def quarantined_rows(spark, sf):
     return spark.read.parquet(path).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _without(spark, database, df):
+    """The rows, written, and the database they were read through dropped; its tables' files stay."""
+    kept = stage(df, "listed")
+    spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+    return kept
+
+
 @query("gold_tables", "SNK-5 SNK-6 AGG-4", """SELECT 'batch_summary_daily_gold' AS table_name, count(*) AS n FROM (SELECT DISTINCT ts, cmo_id, data_domain FROM v_batch_records)
 UNION ALL SELECT 'quality_metrics_monthly_gold', count(*) FROM (SELECT DISTINCT date_trunc('month', ts), cmo_id FROM v_batch_records)
 UNION ALL SELECT 'cmo_performance_dashboard_gold', count(DISTINCT cmo_id) FROM v_batch_records""", _REC)
@@ -61,7 +68,7 @@ def gold_tables(spark, sf):
     for name in done["tables_registered"]:
         rows = spark.table(f"`{database}`.`{name}`").agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return _without(spark, database, out)
 
 
 _KEYS = """(SELECT CASE l_linenumber WHEN 1 THEN 'bronze/x' WHEN 2 THEN 'silver/x' WHEN 3 THEN 'bronze/quarantine/x' WHEN 4 THEN 'audit-logs/x'
@@ -128,7 +135,7 @@ def catalog_columns(spark, sf):
     name = sinks.register_silver_table(spark, root, "cmo-1", "batch-records", database)
     listed = access.schema_context(spark, [(database, name), (database, "gone")])
     plain = F.when(F.col("is_partition"), "string").otherwise(F.col("data_type"))
-    return listed.select("column_name", plain.alias("data_type"), "is_partition")
+    return _without(spark, database, listed.select("column_name", plain.alias("data_type"), "is_partition"))
 
 
 @query("gold_datasets_from_silver", "AGG-4 AGG-14 SRC-2", """SELECT cmo_id, count(*) AS total_records, count(*) FILTER (WHERE quality_status <> 'PASS') AS fail_count

@@ -6,7 +6,13 @@ broadcast decision is made from measured sizes, and shuffle widths are left to t
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,11 +55,48 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path under the shared folder."""
-    import uuid
+# Folders of the innermost ``scratch`` block of this thread, and those of no block, which go when the process ends.
+_blocks = threading.local()
+_unowned: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop, or directly once the context is gone and the folder is local."""
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    elif "://" not in path:
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owner of what is staged inside: those folders are removed at its end, so results must be written by then."""
+    outer, mine = getattr(_blocks, "paths", None), []
+    _blocks.paths = mine
+    try:
+        yield
+    finally:
+        _blocks.paths = outer
+        for path in mine:
+            _remove(spark, path)
 
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+@atexit.register
+def _remove_unowned() -> None:
+    while _unowned:
+        _remove(*_unowned.pop())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh, unused path under the shared folder, removed with the ``scratch`` block around it or the process."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    owned = getattr(_blocks, "paths", None)
+    if owned is None:
+        _unowned.append((spark, path))
+    else:
+        owned.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,18 +117,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
-    """Redistribute a scan that offers fewer splits than there are cores, before CPU-heavy work on it.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over as many partitions as the cluster has cores, before CPU-heavy work on them.
 
-    A delivered file with one row group, or a compressed text file, is one task however large it is.
-    Inputs that already have splits enough, or come out of a shuffle, are returned as they are.
+    A delivered file with one row group, or a compressed text file, is one task however large it is. The rule is
+    the same for every input; a stream stays as it is.
     """
-    if df.isStreaming:
-        return df
-    execution = df._jdf.queryExecution()
-    if "Exchange" in execution.executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if execution.toRdd().getNumPartitions() >= cores or int(str(execution.optimizedPlan().stats().sizeInBytes())) < min_bytes:
-        return df
-    return df.repartition(cores)
+    return df if df.isStreaming else df.repartition(df.sparkSession.sparkContext.defaultParallelism)

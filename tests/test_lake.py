@@ -14,7 +14,7 @@ from tenantlake.operators import filters, sla
 from tenantlake.operators.quality import QualityRule
 from tenantlake.operators.schema import TableSchema
 from tenantlake.plans.flows import load_batch, silver_to_gold
-from tenantlake.session import spread
+from tenantlake.session import scratch, scratch_path, shared_dir, spread
 from tenantlake.sources import readers, sinks
 from tenantlake.sources.readers import SourceError
 from tenantlake.sources.tables import VersionedTable
@@ -138,13 +138,22 @@ def test_retention_keeps_unmatched_and_drops_expired(spark):
     assert rows(sinks.apply_retention(df, now).select("key", "retention")) == [("bronze/x", "archive"), ("other/x", "keep")]
 
 
-def test_spread_only_touches_narrow_large_scans(spark, tmp_path):
-    spark.range(2_000_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+def test_spread_is_one_rule(spark, tmp_path):
+    spark.range(2_000).coalesce(1).write.parquet(str(tmp_path / "one"))
     one = spark.read.parquet(str(tmp_path / "one"))
-    assert spread(one, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(one, 1 << 40) is one
-    shuffled = one.groupBy("id").count()
-    assert spread(shuffled, 1) is shuffled
+    for df in (one, one.groupBy("id").count()):
+        assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_scratch_goes_with_its_block(spark):
+    with scratch(spark):
+        path = scratch_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        with scratch(spark):
+            inner = scratch_path(spark, "y")
+            spark.range(3).write.parquet(inner)
+        assert os.path.isdir(path) and not os.path.exists(inner)
+    assert not os.path.exists(path)
 
 
 # --- streams ---
@@ -178,6 +187,32 @@ def test_document_stream(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("doc_id", "destination")) == [("j1", "bronze"), ("j2", "manual_review")]
 
 
+def test_document_stream_of_three_batches_leaves_no_scratch(spark, tmp_path):
+    src = tmp_path / "ocr"
+    src.mkdir()
+    jobs = spark.createDataFrame([(f"j{i}", "cmo-a", "coa", f"{i}.pdf") for i in range(3)], "job_id string, cmo_id string, data_domain string, file_key string")
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    for i in range(3):
+        (src / f"j{i}.json").write_text(json.dumps({"JobId": f"j{i}", "Blocks": [{"Id": "1", "BlockType": "LINE", "Text": "hi", "Confidence": 99.0}]}))
+        streams.document_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "state"), jobs, "lake", F.lit(dt.datetime(2024, 6, 1))).awaitTermination()
+    assert len(os.listdir(tmp_path / "out")) >= 3 and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
+
+
+def test_quality_stream_drops_a_key_delivered_in_two_batches(spark, tmp_path):
+    ddl = "id string, kind string, day string, ts timestamp"
+    t = dt.datetime(2024, 1, 1)
+    schema = TableSchema({"id": "string", "kind": "string", "day": "string"}, ("kind",))
+    rules = [QualityRule("r", "known", "completeness", 'Completeness "id"', 99.0)]
+    for i, ids in enumerate((["a", "b"], ["b", "c"], ["a", "d"])):
+        spark.createDataFrame([(x, "k", f"d{i}", t + dt.timedelta(minutes=i)) for x in ids], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    streams.quality_stream(src, schema, rules, ["id"], ["ts"], out, str(tmp_path / "state"), ts="ts", levels=["day"]).awaitTermination()
+    silver = spark.read.option("basePath", f"{out}/silver").parquet(f"{out}/silver")
+    assert rows(silver.select("id")) == [("a",), ("b",), ("c",), ("d",)] and "day" in silver.columns
+
+
 def _points(spark, tmp_path, name, data):
     schema = "ts timestamp, metric string, cmo_id string, contract_id string, value double"
     spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
