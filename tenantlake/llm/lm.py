@@ -30,8 +30,8 @@ DEPTH = 5
 WORD_ROWS = 4 << 20
 GRAM_ROWS = 4 << 20
 #: Distinct entries that a counting task holds before it passes them on.
-HELD_WORDS = 400_000
-HELD_GRAMS = 4 << 20
+HELD_WORDS = 200_000
+HELD_GRAMS = 3 << 19
 END = b"\n"
 
 
