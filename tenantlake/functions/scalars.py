@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -161,6 +162,20 @@ def record_contains(columns: list[str], needle: str) -> Column:
     return F.to_json(F.struct(*columns)).contains(needle)
 
 
+def has_token(text: Column, token: str) -> Column:
+    """True when the text holds the token with no letter, digit, underscore or hyphen next to it; false for null.
+
+    A tenant's id is found this way, so that ``cmo-7`` isn't found in ``cmo-70``.
+    """
+    quoted = re.sub(r"([^\w\s])", r"\\\1", token)
+    return F.coalesce(text.rlike(rf"(^|[^A-Za-z0-9_\-]){quoted}([^A-Za-z0-9_\-]|$)"), F.lit(False))
+
+
+def record_has_token(columns: list[str], token: str) -> Column:
+    """True when the JSON form of the given columns holds the token."""
+    return has_token(F.to_json(F.struct(*columns)), token)
+
+
 def label_of(code: Column, labels: Mapping[str, str]) -> Column:
     """Display label of a code, the code itself when unknown."""
     out = code

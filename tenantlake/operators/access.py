@@ -84,7 +84,7 @@ def grant_user(cmo_id: str, user: str, tables: Mapping[str, tuple[DataFrame, Seq
 
 def isolation_violations(grants: DataFrame) -> DataFrame:
     """Granted tables that do not carry the tenant's prefix, for grants with a ``cmo_id`` column."""
-    prefix = F.replace("cmo_id", F.lit("-"), F.lit("_"))
+    prefix = F.concat(F.replace("cmo_id", F.lit("-"), F.lit("_")), F.lit("_"))  # cmo_1_ doesn't own cmo_10_...
     return grants.where((F.coalesce("table_name", F.lit("")) != "") & ~F.col("table_name").startswith(prefix)).select(
         "cmo_id", "principal", "table_name", "permission",
         F.concat(F.lit("Table does not belong to "), F.col("cmo_id")).alias("reason"))
@@ -92,7 +92,7 @@ def isolation_violations(grants: DataFrame) -> DataFrame:
 
 def verify_isolation(grants: DataFrame) -> DataFrame:
     """Per tenant and principal: permissions checked, violations, passed."""
-    prefix = F.replace("cmo_id", F.lit("-"), F.lit("_"))
+    prefix = F.concat(F.replace("cmo_id", F.lit("-"), F.lit("_")), F.lit("_"))  # cmo_1_ doesn't own cmo_10_...
     foreign = (F.coalesce("table_name", F.lit("")) != "") & ~F.col("table_name").startswith(prefix)
     return grants.groupBy("cmo_id", "principal").agg(
         F.count(F.lit(1)).alias("permissions_checked"),

@@ -58,10 +58,9 @@ def query_events(df: DataFrame, start, end, filters: Mapping[str, str] | None =
 
 
 def touches_tenant(cmo_id: str) -> Column:
-    """The raw record or any resource name contains the tenant id."""
-    in_raw = F.coalesce(F.col("cloud_trail_event").contains(cmo_id), F.lit(False))
-    in_resource = F.coalesce(F.exists("resources", lambda r: r["ResourceName"].contains(cmo_id)), F.lit(False))
-    return in_raw | in_resource
+    """The raw record or any resource name holds the tenant id as a whole token: cmo-7's events, not cmo-70's."""
+    in_resource = F.coalesce(F.exists("resources", lambda r: S.has_token(r["ResourceName"], cmo_id)), F.lit(False))
+    return S.has_token(F.col("cloud_trail_event"), cmo_id) | in_resource
 
 
 def data_access(df: DataFrame, cmo_id: str, start, end) -> DataFrame:
@@ -81,13 +80,13 @@ def merge_events(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def distinct_events(events: DataFrame) -> DataFrame:
     """One row per event id (any id-less rows kept), lowest priority value first."""
-    known = F.coalesce(F.col("event_id"), F.lit("")) != ""
+    # an id-less row is its own group, so all are one aggregate over one scan
+    key = F.when(F.coalesce(F.col("event_id"), F.lit("")) != "", F.struct(F.col("event_id"), F.lit(-1).cast("long").alias("row"))).otherwise(
+        F.struct(F.col("event_id"), F.monotonically_increasing_id().alias("row")))
     payload = [c for c in events.columns if c not in ("event_id", "priority")]
-    once = (events.where(known).groupBy("event_id")
-            .agg(F.min_by(F.struct(*payload), F.struct("priority", "event_time", "event_name", "username")).alias("e"))
-            .select("event_id", *[F.col(f"e.{c}").alias(c) for c in payload]))
-    rest = events.where(~known).select("event_id", *payload)
-    return once.unionByName(rest)
+    once = events.withColumn("_key", key).groupBy("_key").agg(
+        F.min_by(F.struct(*payload), F.struct("priority", "event_time", "event_name", "username")).alias("e"))
+    return once.select(F.col("_key.event_id").alias("event_id"), *[F.col(f"e.{c}").alias(c) for c in payload])
 
 
 def compliance_events(df: DataFrame, report_type: str, cmo_id: str, start, end) -> DataFrame:
@@ -96,7 +95,7 @@ def compliance_events(df: DataFrame, report_type: str, cmo_id: str, start, end)
         raise AuditError(f"Invalid report_type '{report_type}'. Must be one of {list(REPORT_TYPES)}")
     if not cmo_id:
         raise AuditError("cmo_id is required")
-    names_tenant = S.record_contains(df.columns, cmo_id)
+    names_tenant = S.record_has_token(df.columns, cmo_id)
     if report_type == "user_actions":
         return query_events(df, start, end).where(names_tenant)
     if report_type == "data_access":
@@ -104,9 +103,9 @@ def compliance_events(df: DataFrame, report_type: str, cmo_id: str, start, end)
     if report_type == "data_modifications":
         return query_events(df, start, end, {"EventName": MODIFY_EVENT}).where(names_tenant)
     everything = query_events(df, start, end).withColumn("priority", F.lit(0))
-    accesses = data_access(df, cmo_id, start, end).withColumn("priority", F.lit(1))
-    # the first occurrence of an id decides before the tenant filter is applied
-    return distinct_events(everything.unionByName(accesses)).select(*df.columns).where(names_tenant)
+    # a tenant's object events are among them: one source needs no second list; the first occurrence of an id
+    # decides before the tenant filter is applied
+    return distinct_events(everything).select(*df.columns).where(names_tenant)
 
 
 def user_report(df: DataFrame, user_id: str, start, end) -> DataFrame:
@@ -123,17 +122,14 @@ def event_breakdown(events: DataFrame) -> DataFrame:
 
 
 def report_summary(events: DataFrame) -> DataFrame:
-    """One row: total events, distinct users and a map of counts per event name.
+    """One row: total events, distinct users and distinct event names; the counts per name are ``event_breakdown``.
 
     Counted per (event name, user) first, so the final step sees only those few rows.
     """
     name, user = (F.coalesce(c, F.lit("unknown")).alias(c) for c in ("event_name", "username"))
     cells = events.groupBy(name, user).agg(F.count(F.lit(1)).alias("n"))
-    totals = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
-                       F.count_distinct("username").alias("unique_users"))
-    by_name = cells.groupBy("event_name").agg(F.sum("n").alias("n"))
-    breakdown = by_name.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "n")))).alias("m"))
-    return totals.select("total_events", "unique_users", breakdown.scalar().alias("event_breakdown"))
+    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"), F.count_distinct("username").alias("unique_users"),
+                     F.count_distinct("event_name").alias("event_names"))
 
 
 def preview(events: DataFrame, n: int = PREVIEW_EVENTS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenantlake.operators.batches import ELEMENTS_TYPE, REQUIRED_ELEMENTS, element, with_missing
+from tenantlake.operators.batches import ELEMENTS_TYPE, OPTIONAL_ELEMENTS, REQUIRED_ELEMENTS, element, with_missing
 
 TENANTS = 120  # tenant numbers of batches, runs and contracts wrap here
 
@@ -96,9 +96,9 @@ def contract_slas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per delivered line of the first four line numbers."""
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") <= 4)
-    kind = F.element_at(F.array(*[F.lit(e) for e in REQUIRED_ELEMENTS]), F.col("l_linenumber"))
+    """One row per delivered line; the first four line numbers are required elements, the others optional ones."""
+    li = table(spark, sf, "lineitem")
+    kind = F.element_at(F.array(*[F.lit(e) for e in (*REQUIRED_ELEMENTS, *OPTIONAL_ELEMENTS)]), F.col("l_linenumber"))
     return li.select(F.col("l_orderkey").alias("batch_id"), kind.alias("element_type"),
                      F.col("l_shipdate").cast("timestamp").alias("received_at"),
                      F.concat(F.lit("bronze/"), F.col("l_partkey").cast("string"), F.lit("/"),

@@ -201,10 +201,11 @@ def keyed_lookups(spark, sf):
 
 
 @query("active_connections", "FLT-8 JOIN-5", """SELECT b.batch_id, c.contract_id AS connection_id, b.cmo_id
-FROM v_batches b JOIN v_contracts c ON c.cmo_id = b.cmo_id AND c.status = 'active' WHERE c.connection_type = 'native-connector'""",
+FROM v_batches b JOIN v_contracts c ON c.cmo_id = b.cmo_id AND c.status = 'active' WHERE c.contract_id < 360""",
        ("v_batches", "v_contracts"))
 def active_connections(spark, sf):
-    conns = B.contracts(spark, sf).where(F.col("connection_type") == "native-connector").select(
+    """Each supplier has up to three connections, those of its first contracts, whatever the number of contracts."""
+    conns = B.contracts(spark, sf).where(F.col("contract_id") < 3 * B.TENANTS).select(
         F.col("contract_id").alias("connection_id"), "cmo_id", "status")
     return filters.active_connections(B.batch_heads(spark, sf), conns).select("batch_id", "connection_id", "cmo_id")
 
