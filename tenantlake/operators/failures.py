@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenantlake.sources.tables import VersionedTable
+from tenantlake.sources.tables import KeyedLog
 
 # Error classes in order of precedence with the words that mark them.
 NETWORK_WORDS = ("ConnectionError", "ConnectionRefusedError", "ConnectionResetError", "BrokenPipeError",
@@ -224,22 +224,30 @@ def pending(df: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
             .withColumn("verdict", verdict).drop("_status"))
 
 
-def run_once(spark: SparkSession, ledger: VersionedTable, key: str, work: Callable[[], str | None],
+def ledger_at(spark: SparkSession, root: str) -> KeyedLog:
+    """The append-only ledger of ``run_once`` under a folder."""
+    return KeyedLog(spark, root, LEDGER_DDL, "idempotency_key")
+
+
+def run_once(spark: SparkSession, ledger: KeyedLog, key: str, work: Callable[[], str | None],
              now: float, ttl_seconds: int = LEDGER_TTL_SECONDS) -> str | None:
     """Run ``work`` unless its key is completed; its status, not its result, decides.
 
-    Every state change is a new committed version of the ledger. A running key is an error; a failed
-    or expired one runs again.
+    Every state change is a row appended under the key. A run needs the key's next place, which one caller only can
+    claim; a running key is an error for the others. A failed or expired one runs again, at the next place.
     """
     def put(status: str, result: str | None = None, error: str | None = None) -> None:
-        others = ledger.read(LEDGER_DDL).where(F.col("idempotency_key") != key)
-        row = [(key, status, float(now), int(now + ttl_seconds), result, error)]
-        ledger.write(others.unionByName(spark.createDataFrame(row, LEDGER_DDL)))
-
-    known = _live(ledger.read(LEDGER_DDL).where(F.col("idempotency_key") == key), F.lit(float(now))).first()
-    if known is not None and known["status"] == "completed":
-        return known["result"]
-    if known is not None and known["status"] == "in_progress":
+        ledger.append(key, [(key, status, float(now), int(now + ttl_seconds), result, error)])
+
+    # two rows a run at most, and only those of this key
+    rows = sorted(ledger.rows(key).collect(), key=lambda r: (r["created_at"], r["status"] != "in_progress"))
+    last = rows[-1] if rows else None
+    if last is not None and (last["ttl"] is None or now < last["ttl"]):
+        if last["status"] == "completed":
+            return last["result"]
+        if last["status"] == "in_progress":
+            raise InProgressError(key)
+    if not ledger.claim(key, len(rows)):
         raise InProgressError(key)
     put("in_progress")
     try:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenantlake.session import spread
-from tenantlake.sources.tables import VersionedTable
+from tenantlake.sources.tables import KeyedLog
 
 # JSON-schema scalar -> Spark type.
 SPARK_TYPES = {
@@ -281,21 +281,28 @@ def editor_schema_name(cmo_id: str, name: str) -> str:
     return f"{cmo_id}-{name}".lower().replace(" ", "-")
 
 
-def register_schema(registry: VersionedTable, name: str, schema: TableSchema, data_format: str = "JSON") -> int:
-    """Create version 1 or append the next version; returns the version number."""
+def registry_at(spark: SparkSession, root: str) -> KeyedLog:
+    """An append-only schema registry under a folder."""
+    return KeyedLog(spark, root, REGISTRY_DDL, "name")
+
+
+def register_schema(registry: KeyedLog, name: str, schema: TableSchema, data_format: str = "JSON") -> int:
+    """Append the schema's next version, 1 for a new name; returns the version number.
+
+    The version is claimed before its fields are written, so two writers never share one.
+    """
     if data_format not in FORMATS:
         raise SchemaError(f"Unsupported data format '{data_format}'. Must be one of: {', '.join(FORMATS)}")
-    spark = registry.spark
-    known = registry.read(REGISTRY_DDL)
-    latest = known.where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
-    rows = [(name, latest + 1, data_format, f, t, f in schema.required) for f, t in schema.properties.items()]
-    registry.write(known.unionByName(spark.createDataFrame(rows, REGISTRY_DDL)))
-    return latest + 1
+    version = (registry.rows(name).agg(F.max("version")).first()[0] or 0) + 1
+    while not registry.claim(name, version):
+        version += 1
+    registry.append(name, [(name, version, data_format, f, t, f in schema.required) for f, t in schema.properties.items()])
+    return version
 
 
-def get_schema(registry: VersionedTable, name: str, version: int | str = "latest") -> TableSchema:
+def get_schema(registry: KeyedLog, name: str, version: int | str = "latest") -> TableSchema:
     """One version of a schema, or its latest; unknown names and versions are errors."""
-    rows = registry.read(REGISTRY_DDL).where(F.col("name") == name)
+    rows = registry.rows(name)
     if version == "latest":
         version = rows.agg(F.max("version")).first()[0]
     if version is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tenantlake.operators import contracts, schema
 from tenantlake.plans import bindings as B
 from tenantlake.plans.registry import query
+from tenantlake.session import scratch_path
 
 NOW = dt.datetime(2001, 12, 31)
 
@@ -116,7 +117,7 @@ def first_row_schema(spark, sf):
     return schema.infer_first_row_schema(o, ["key"])
 
 
-@query("latest_schema_versions", "SCH-6 SCH-7", """
+@query("latest_schema_versions", "SCH-7", """
 SELECT concat('schema-', o_custkey % 100) AS name, CAST(o_orderkey AS INTEGER) AS version, concat('f', o_orderkey % 7) AS field FROM orders
 WHERE (o_custkey % 100, o_orderkey) IN (SELECT o_custkey % 100, max(o_orderkey) FROM orders GROUP BY 1)""")
 def latest_schema_versions(spark, sf):
@@ -127,6 +128,44 @@ def latest_schema_versions(spark, sf):
     return schema.latest_schemas(rows)
 
 
+@query("registered_schema_versions", "SCH-6 SCH-7", """SELECT name, version, field, type FROM (
+  SELECT 'orders' AS name, CAST(1 AS INTEGER) AS version, unnest(['o_orderkey', 'o_orderstatus']) AS field, unnest(['integer', 'string']) AS type
+  UNION ALL SELECT 'orders', 2, unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice']), unnest(['integer', 'string', 'number']))
+WHERE (SELECT count(*) FROM orders) > 0""")
+def registered_schema_versions(spark, sf):
+    """Two versions inferred from text forms of the orders, registered and read back by number and as the latest."""
+    text = B.table(spark, sf, "orders").select(*[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")])
+    registry = schema.registry_at(spark, scratch_path(spark, "registry"))
+    for df in (text.drop("o_totalprice"), text):
+        found = schema.infer_csv_schema(df).collect()
+        schema.register_schema(registry, "orders", schema.TableSchema({r["field"]: r["type"] for r in found}, ()))
+    rows = []
+    for version, asked in ((1, 1), (2, "latest")):
+        rows += [("orders", version, f, t) for f, t in schema.get_schema(registry, "orders", asked).properties.items()]
+    return spark.createDataFrame(rows, "name string, version int, field string, type string")
+
+
+@query("parquet_schemas", "SCH-3", """SELECT 'customer' AS name, column_name AS field, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'integer'
+  WHEN data_type = 'DOUBLE' THEN 'number' ELSE 'string' END AS type, false AS required FROM (
+  SELECT unnest(['c_custkey', 'c_name', 'c_acctbal']) AS column_name, unnest([typeof(c_custkey), typeof(c_name), typeof(c_acctbal)]) AS data_type FROM (SELECT * FROM customer LIMIT 1))""")
+def parquet_schemas(spark, sf):
+    df = B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return schema.infer_parquet_schema(df).select(F.lit("customer").alias("name"), "field", "type", "required")
+
+
+@query("compatibility_verdicts", "SCH-8", """SELECT unnest(['BACKWARD', 'FORWARD', 'FULL']) AS compatibility_mode, unnest([false, false, false]) AS compatible
+WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT 'BACKWARD same', true""")
+def compatibility_verdicts(spark, sf):
+    """Schemas inferred from the orders' keys and statuses, and from a delivery whose key became text."""
+    text = B.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderstatus").alias("s"))
+    old = schema.infer_csv_schema(text)
+    new = schema.infer_csv_schema(text.select("k", F.length("s").cast("string").alias("s"), F.col("s").alias("extra")))
+    out = schema.check_compatibility(old, old, "BACKWARD").select(F.lit("BACKWARD same").alias("compatibility_mode"), "compatible")
+    for mode in ("BACKWARD", "FORWARD", "FULL"):
+        out = out.unionByName(schema.check_compatibility(old, new, mode).select("compatibility_mode", "compatible"))
+    return out
+
+
 # --- contracts ---
 
 _NAME = "coalesce(nullif(trim(regexp_replace(replace(upper(c_name), ' ', '-'), '-+', '-', 'g'), '-'), ''), 'UNKNOWN')"

@@ -169,10 +169,8 @@ def delivered_files_read_back(spark, sf):
 @query("load_runs_once", "OPS-9 SNK-1", "SELECT count(*) AS rows_loaded, sum(quantity) AS quantity FROM v_batch_records", _REC)
 def load_runs_once(spark, sf):
     """The same append submitted twice under one key: the second run is skipped."""
-    from tenantlake.sources.tables import VersionedTable
-
     root = scratch_path(spark, "lake")
-    ledger = VersionedTable(spark, f"{root}/ledger")
+    ledger = failures.ledger_at(spark, f"{root}/ledger")
     rows = B.batch_records(spark, sf).select("batch_id", "quantity")
     for now in (1000.0, 1001.0):
         failures.run_once(spark, ledger, "cmo-1|batch-records", lambda: sinks.write_bronze(rows, root, "cmo-1", "batch-records", DAY), now)

@@ -312,7 +312,7 @@ def pii_findings(spark, sf):
 
 # --- isolation ---
 
-@query("isolation_views", "ACL-2 ACL-5", """SELECT 'batch' AS source, batch_id AS id FROM v_batch_records WHERE cmo_id = 'cmo-11'
+@query("isolation_views", "ACL-2", """SELECT 'batch' AS source, batch_id AS id FROM v_batch_records WHERE cmo_id = 'cmo-11'
 UNION ALL SELECT 'contract', CAST(contract_id AS VARCHAR) FROM v_contracts WHERE cmo_id = 'cmo-11'""",
        ("v_batch_records", "v_contracts"))
 def isolation_views(spark, sf):
@@ -344,21 +344,21 @@ def _grants(spark, sf):
 
 
 @query("isolation_violations", "ACL-3 FN-16", f"""SELECT cmo_id, principal, table_name, permission,
-  concat('Table does not belong to ', cmo_id) AS reason FROM {_GRANTS} WHERE NOT starts_with(table_name, replace(cmo_id, '-', '_'))""",
+  concat('Table does not belong to ', cmo_id) AS reason FROM {_GRANTS} WHERE NOT starts_with(table_name, replace(cmo_id, '-', '_') || '_')""",
        ("v_contracts",))
 def isolation_violations(spark, sf):
     return access.isolation_violations(_grants(spark, sf))
 
 
 @query("isolation_verdicts", "ACL-3", f"""SELECT cmo_id, principal, count(*) AS permissions_checked,
-  count(*) FILTER (WHERE NOT starts_with(table_name, replace(cmo_id, '-', '_'))) AS violations,
-  count(*) FILTER (WHERE NOT starts_with(table_name, replace(cmo_id, '-', '_'))) = 0 AS passed FROM {_GRANTS} GROUP BY 1, 2""",
+  count(*) FILTER (WHERE NOT starts_with(table_name, replace(cmo_id, '-', '_') || '_')) AS violations,
+  count(*) FILTER (WHERE NOT starts_with(table_name, replace(cmo_id, '-', '_') || '_')) = 0 AS passed FROM {_GRANTS} GROUP BY 1, 2""",
        ("v_contracts",))
 def isolation_verdicts(spark, sf):
     return access.verify_isolation(_grants(spark, sf))
 
 
-@query("grants_after_revoke", "ACL-1 ACL-4", f"""SELECT DISTINCT principal, 'data_lake' AS database, table_name, permission FROM {_GRANTS}
+@query("grants_after_revoke", "ACL-1", f"""SELECT DISTINCT principal, 'data_lake' AS database, table_name, permission FROM {_GRANTS}
 WHERE table_name <> 'cmo_other_silver'""", ("v_contracts",))
 def grants_after_revoke(spark, sf):
     entries = _grants(spark, sf).select("principal", F.lit("data_lake").alias("database"), "table_name", "permission")
@@ -366,6 +366,36 @@ def grants_after_revoke(spark, sf):
     return access.revoke(granted, entries.where(F.col("table_name") == "cmo_other_silver"))
 
 
+@query("user_grant_and_views", "ACL-5 ACL-1", """SELECT 'grant' AS kind, concat('role-', c_custkey, '|', t, '|', p) AS item, CAST(1 AS BIGINT) AS n FROM customer,
+  (VALUES ('', 'DESCRIBE'), ('batch_records', 'SELECT'), ('batch_records', 'DESCRIBE')) v(t, p) WHERE c_custkey <= 20
+UNION ALL SELECT 'rows', 'cmo-3', count(*) FROM v_batch_records WHERE cmo_id = 'cmo-3'""", ("v_batch_records",))
+def user_grant_and_views(spark, sf):
+    """Users are granted a tenant's table one after the other; the view they share shows the tenant's rows."""
+    tables = {"batch_records": (B.batch_records(spark, sf), ["price"])}
+    users = [r[0] for r in B.table(spark, sf, "customer").where("c_custkey <= 20").select("c_custkey").collect()]
+    grants = spark.createDataFrame([], access.GRANTS_DDL)
+    for user in users:
+        grants, views = access.grant_user("cmo-3", f"role-{user}", tables, grants)
+    seen = spark.table(views["batch_records"]["combined"]).agg(F.count(F.lit(1)).alias("n"))
+    items = grants.select(F.lit("grant").alias("kind"), F.concat_ws(
+        "|", "principal", F.coalesce("table_name", F.lit("")), "permission").alias("item"), F.lit(1).cast("bigint").alias("n"))
+    return items.unionByName(seen.select(F.lit("rows").alias("kind"), F.lit("cmo-3").alias("item"), "n"))
+
+
+@query("views_after_revoke", "ACL-4", """SELECT CASE WHEN cmo_id = 'cmo-1' THEN 'revoked' ELSE 'kept' END AS state, count(*) AS n
+FROM v_batch_records WHERE cmo_id IN ('cmo-1', 'cmo-2') GROUP BY 1""", ("v_batch_records",))
+def views_after_revoke(spark, sf):
+    """Two tenants get views and one loses them; its rows are counted before, the other's after."""
+    tables = {"batch_lines": (B.batch_records(spark, sf), ["price"])}
+    gone, kept = access.isolation_views("cmo-1", tables), access.isolation_views("cmo-2", tables)
+    before = spark.table(gone["batch_lines"]["row"]).groupBy(F.lit("revoked").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    dropped = access.revoke_isolation(spark, "cmo-1", ["batch_lines"])
+    if dropped != 3 or any(spark.catalog.tableExists(v) for v in gone["batch_lines"].values()):
+        raise RuntimeError("views of a revoked tenant are still there")
+    after = spark.table(kept["batch_lines"]["row"]).groupBy(F.lit("kept").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return before.unionByName(after)
+
+
 @query("accessible_tables", "ACL-7", f"""SELECT DISTINCT 'data_lake' AS database, table_name FROM {_GRANTS} WHERE cmo_id = 'cmo-1'""",
        ("v_contracts",))
 def accessible_tables(spark, sf):

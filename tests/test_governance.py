@@ -14,7 +14,6 @@ from tenantlake.functions import paths as P
 from tenantlake.operators import contracts, schema
 from tenantlake.operators import sqlsurface as Q
 from tenantlake.operators.schema import SchemaError, TableSchema
-from tenantlake.sources.tables import VersionedTable
 from tests.conftest import rows
 
 NOW = dt.datetime(2024, 1, 1)
@@ -66,7 +65,7 @@ def test_merge_equals_pairwise_folding(spark, schemas):
 
 
 def test_registry_versions(spark, tmp_path):
-    registry = VersionedTable(spark, str(tmp_path / "registry"))
+    registry = schema.registry_at(spark, str(tmp_path / "registry"))
     one, two = TableSchema({"a": "integer"}, ("a",)), TableSchema({"a": "number", "b": "string"}, ())
     assert schema.register_schema(registry, "s", one) == 1 and schema.register_schema(registry, "s", two) == 2
     assert schema.register_schema(registry, "other", one, "AVRO") == 1

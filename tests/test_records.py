@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tenantlake.operators import access, audit, batches, documents, failures, filters, pii
 from tenantlake.sources.readers import OCR_BLOCK
-from tenantlake.sources.tables import VersionedTable
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -140,7 +139,7 @@ def test_idempotency(spark, tmp_path):
     assert made == hashlib.sha256(raw.encode()).hexdigest()
     text = spark.range(1).select(failures.sorted_json(F.create_map(F.lit("b"), F.lit('q"x'), F.lit("a"), F.lit("y")))).first()[0]
     assert text == json.dumps({"a": "y", "b": 'q"x'})
-    ledger, calls = VersionedTable(spark, str(tmp_path / "ledger")), []
+    ledger, calls = failures.ledger_at(spark, str(tmp_path / "ledger")), []
 
     def work():
         calls.append(1)
@@ -156,11 +155,31 @@ def test_idempotency(spark, tmp_path):
     assert len(calls) == 1
     failures.run_once(spark, ledger, "k", work, 102.0 + 25 * 3600)
     assert len(calls) == 2
-    ledger.write(spark.createDataFrame([("k", "in_progress", 1.0, 10**12, None, None)], failures.LEDGER_DDL))
+    ledger = failures.ledger_at(spark, str(tmp_path / "other"))
+    ledger.append("k", [("k", "in_progress", 1.0, 10**12, None, None)])
     with pytest.raises(failures.InProgressError):
         failures.run_once(spark, ledger, "k", work, 200.0)
 
 
+def test_two_claims_at_once_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    ledger, calls = failures.ledger_at(spark, str(tmp_path / "ledger")), []
+
+    def attempt(_):
+        try:
+            failures.run_once(spark, ledger, "k", lambda: calls.append(1), 100.0)
+            return True
+        except failures.InProgressError:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(attempt, range(4)))
+    assert len(calls) == 1 and any(won)
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(lambda _: ledger.claim("other", 1), range(4))) == 1
+
+
 def _block(kind, bid, text=None, conf=None, row=None, col=None, entity=None, rel=None):
     return (bid, kind, text, conf, row, col, [entity] if entity else None, rel)
 
