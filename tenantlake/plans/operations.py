@@ -154,7 +154,7 @@ def _files(spark, sf):
 _FILE_VIEWS = ("v_manifest", "v_contracts")
 
 
-@query("delivered_file_status", "BAT-8 SRC-7 JOIN-12 SRT-6", """
+@query("delivered_file_status", "BAT-8 JOIN-12 SRT-6", """
 SELECT contract_id, c.cmo_id, c.data_domain, coalesce(n, 0) AS total_files, list_last(string_split(newest.path, '/')) AS last_file,
   newest.size AS last_size, newest.modified::DATE AS last_received_on, CASE WHEN n IS NULL THEN 'No files received yet' END AS message
 FROM v_contracts c LEFT JOIN (SELECT tenant, data_domain, count(*) AS n,
@@ -206,7 +206,7 @@ def contract_connections(spark, sf):
     return batches.contract_connections(links, conns)
 
 
-@query("file_lots", "JOIN-6 SRC-7", """SELECT path, coalesce(lot_number, CAST(order_key AS VARCHAR)) AS lot FROM v_manifest
+@query("file_lots", "JOIN-6", """SELECT path, coalesce(lot_number, CAST(order_key AS VARCHAR)) AS lot FROM v_manifest
 LEFT JOIN (SELECT * FROM v_batches WHERE batch_id % 2 = 0) ON batch_id = order_key WHERE line = 1""", ("v_manifest", "v_batches"))
 def file_lots(spark, sf):
     known = B.batch_heads(spark, sf).where(F.col("batch_id") % 2 == 0).select(
