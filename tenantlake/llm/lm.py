@@ -171,9 +171,12 @@ def _slices(df: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
     n = max(1, math.ceil(df.count() / rows))
     for i in range(n):
         part = df.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow()
-        key = part.column(0).to_numpy().view(np.uint64)
+        key, value = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
+        del part
         order = np.argsort(key)
-        yield key[order], part.column(1).to_numpy()[order]
+        key, value = key[order], value[order]
+        del order
+        yield key, value
 
 
 def _partial(docs: DataFrame, words, grams, depth: int) -> DataFrame:
