@@ -38,7 +38,7 @@ def gate(silver: DataFrame, invalid: DataFrame | None, report: DataFrame, root:
     if verdict["passed"]:
         silver_path, promoted = sinks.promote_to_silver(silver, root, cmo_id, domain, at)
         if promoted and database:
-            table = sinks.register_silver_table(silver.sparkSession, root, cmo_id, domain, database)
+            table = sinks.register_silver_table(silver.sparkSession, root, cmo_id, domain, database, at.date())
     else:
         path, rows = sinks.quarantine(silver, root, contract_id, QUALITY_FAILURE, at)
         quarantine_path, quarantined = quarantine_path or path, quarantined + rows

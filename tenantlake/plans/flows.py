@@ -43,5 +43,5 @@ def silver_to_gold(silver: DataFrame, root: str, date: dt.date, date_col: str =
     for name, df in products.items():
         done["paths"][name] = sinks.write_gold(df, root, name, date)
         if done["paths"][name] and database:
-            done["tables_registered"].append(sinks.register_gold_table(spark, root, name, database))
+            done["tables_registered"].append(sinks.register_gold_table(spark, root, name, database, date))
     return done

@@ -51,6 +51,7 @@ def test_silver_rewrites_its_day_only(spark, tmp_path):
 def test_quarantine_keeps_reasons_apart(spark, tmp_path):
     path, n = sinks.quarantine(spark.range(2), str(tmp_path), "C-1", "schema_validation_failure", AT)
     sinks.quarantine(spark.range(3), str(tmp_path), "C-1", "quality_check_failure", AT)
+    sinks.quarantine(spark.range(2), str(tmp_path), "C-1", "schema_validation_failure", AT)  # a retry replaces
     assert n == 2 and path.endswith("bronze/quarantine/C-1/20240601T103000")
     assert rows(spark.read.parquet(path).groupBy("_quarantine_reason").count()) == [("quality_check_failure", 3), ("schema_validation_failure", 2)]
 
@@ -61,6 +62,8 @@ def test_gold_flow_registers_tables(spark, tmp_path):
     again = silver_to_gold(silver, str(tmp_path), DAY, database="gold_test")
     assert done["tables_registered"] == again["tables_registered"] == ["batch_summary_daily_gold", "quality_metrics_monthly_gold", "cmo_performance_dashboard_gold"]
     assert spark.table("gold_test.batch_summary_daily_gold").select("record_count", "day").first() == (1, "01")
+    silver_to_gold(silver, str(tmp_path), DAY + dt.timedelta(days=1), database="gold_test")  # one more partition of the same table
+    assert rows(spark.table("gold_test.batch_summary_daily_gold").select("record_count", "day")) == [(1, "01"), (1, "02")]
     empty = silver_to_gold(silver.limit(0), str(tmp_path / "none"), DAY, database="gold_test")
     assert set(empty["paths"].values()) == {None} and empty["tables_registered"] == []
 
