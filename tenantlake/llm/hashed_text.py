@@ -26,7 +26,7 @@ SAMPLE = 8_000
 #: A feature is used if it occurs in this many rows of the sample and is so many deviations from chance.
 LEAST_ROWS = 4
 DEVIATIONS = 4.0
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _CORE = re.compile(r"\w+", re.UNICODE)
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 _LOWER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+")

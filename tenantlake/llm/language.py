@@ -21,7 +21,9 @@ PROFILE = 400
 ORDERS = 3
 UNKNOWN = "und"
 #: Distinct (language, n-gram) counts that a counting task holds before it passes them on.
-HELD = 2 << 20
+HELD = 1 << 20
+#: Characters of text counted or ranked at once: each gives several n-grams, held and sorted as 64-bit integers.
+PIECE = 1 << 18
 _BLANK = 1
 _fold: np.ndarray | None = None
 
@@ -107,7 +109,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
 
         for batch in batches:
             texts, langs = as_text(batch.column(0)), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, PIECE):
                 owner, key = _grams(texts[lo:hi])
                 number = np.array([names.setdefault(x, len(names)) for x in langs[lo:hi]], np.int64)
                 held.append(_counted(number[owner], key))
@@ -171,7 +173,7 @@ def predicted(text: Column, model: Profiles) -> Column:
         for batch in batches:
             texts = as_text(batch)
             langs, scores = [], [np.zeros(0)]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, PIECE):
                 a, b = model.predict(texts[lo:hi])
                 langs += a
                 scores.append(b)
