@@ -146,9 +146,9 @@ def bronze_to_silver(df: DataFrame, schema: TableSchema, keys: Sequence[str] = (
 
 def etl_metrics(df: DataFrame, schema: TableSchema, keys: Sequence[str] = (),
                 defaults: Mapping[str, object] | None = None) -> DataFrame:
-    """Counts of a run from one aggregate: total, valid (after de-duplication), invalid, duplicates.
+    """Counts of a run from one aggregate: total, valid (after de-duplication), invalid, duplicates, errors.
 
-    Keys are compared after conversion and null fill, as the run itself does.
+    ``errors`` counts what ``schema_findings`` lists: missing or unexpected columns, and required nulls. Keys are compared after conversion and null fill, as the run itself does.
     """
     flagged = flag_valid(df, schema)
     clean = fill_nulls(convert_types(flagged, schema), schema, defaults)
@@ -160,8 +160,12 @@ def etl_metrics(df: DataFrame, schema: TableSchema, keys: Sequence[str] = (),
         distinct = kept
     counted = clean.agg(F.count(F.lit(1)).alias("total_records"), distinct.alias("valid_records"),
                         F.count_if(~F.col("_is_valid")).alias("invalid_records"), kept.alias("_kept"))
+    missing = [c for c in schema.required if c not in df.columns]
+    fixed = bool(missing) + any(c not in schema.properties for c in df.columns)
+    nulls = F.lit(0) if missing or not schema.required else (F.col("invalid_records") > 0).cast("int")
     return counted.select("total_records", "valid_records", "invalid_records",
-                          (F.col("_kept") - F.col("valid_records")).alias("duplicates_removed"))
+                          (F.col("_kept") - F.col("valid_records")).alias("duplicates_removed"),
+                          (nulls + F.lit(int(fixed))).cast("bigint").alias("errors"))
 
 
 def observed(df: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:

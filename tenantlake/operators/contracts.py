@@ -268,6 +268,21 @@ def assign_contract_ids(df: DataFrame, existing: DataFrame | None, order: list[s
             .drop("_seq", "_before"))
 
 
+def create_contracts(requests: DataFrame, existing: DataFrame | None, order: list[str], now: Column,
+                     doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(created, rejected) of new contract documents: the valid ones get an id and start as draft.
+
+    Created rows carry the request's columns, ``cmo_id``, ``data_domain``, ``contract_id``, ``status`` and both
+    times; rejected ones their ``errors``.
+    """
+    checked = validate_contracts(requests, doc)
+    named = checked.where("is_valid").select(
+        *requests.columns, F.get_json_object(doc, "$.cmoId").alias("cmo_id"), F.get_json_object(doc, "$.dataDomain").alias("data_domain"))
+    created = assign_contract_ids(named, existing, order).withColumns(
+        {"status": F.lit("draft"), "created_at": now, "updated_at": now})
+    return created, checked.where(~F.col("is_valid")).select(*requests.columns, "errors")
+
+
 def contract_id_valid(col: Column) -> Column:
     return F.coalesce(col.rlike(CONTRACT_ID_RE), F.lit(False))
 

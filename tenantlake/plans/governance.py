@@ -283,6 +283,16 @@ def _contract_docs(spark, sf):
     return c.select("c_custkey", doc.alias("doc"))
 
 
+@query("create_contracts", "CTR-11 CTR-6 CTR-1", f"""
+SELECT c_custkey, concat('CMO-CMO-', c_custkey, '-BATCH-RECORDS-001') AS contract_id, 'draft' AS status FROM customer WHERE {_BAD} = 0
+UNION ALL SELECT c_custkey, NULL, 'rejected' FROM customer WHERE {_BAD} <> 0""")
+def create_contracts(spark, sf):
+    """Each customer's document as a new contract: the sound ones get an id, the others come back with their errors."""
+    made, refused = contracts.create_contracts(_contract_docs(spark, sf), None, ["c_custkey"], F.lit(NOW).cast("timestamp"))
+    refused = refused.where(F.size("errors") > 0).select("c_custkey", F.lit(None).cast("string").alias("contract_id"), F.lit("rejected").alias("status"))
+    return made.select("c_custkey", "contract_id", "status").unionByName(refused)
+
+
 @query("validate_contracts", "CTR-1 CTR-2 CTR-3 CTR-4 CTR-5", f"""
 SELECT c_custkey, CASE {_BAD} WHEN 1 THEN 'dataDomain must be a non-empty string' WHEN 2 THEN 'Missing required field: sla'
   WHEN 3 THEN 'sla.timeliness.maxDelayHours must be a positive number' WHEN 4 THEN 'sla: missing required section ''availability'''
