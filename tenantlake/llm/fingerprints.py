@@ -36,7 +36,7 @@ FILTER_FEATURES = 48
 #: Share of the way from chance to full overlap that still counts as chance.
 CUT = 0.1
 #: Text in one range of document ids, about.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
 
 _SCALE = 1 << 12
 _STEP = np.concatenate(([0], np.round(np.diff([c * np.log2(c) if c else 0.0 for c in range(WINDOW + 2)]) * _SCALE))).astype(np.int64)
