@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenantlake.operators.keywords import KEYWORDS
 from tenantlake.operators.windows import sequence_numbers
-from tenantlake.session import spread
+from tenantlake.session import spread, stage
 
 # What a contract must hold and may say.
 REQUIRED_FIELDS = ("cmoId", "dataDomain", "schemaId", "schemaVersion", "qualityRules", "sla", "deliverySchedule",
@@ -275,7 +275,8 @@ def create_contracts(requests: DataFrame, existing: DataFrame | None, order: lis
     Created rows carry the request's columns, ``cmo_id``, ``data_domain``, ``contract_id``, ``status`` and both
     times; rejected ones their ``errors``.
     """
-    checked = validate_contracts(requests, doc)
+    # validated once: numbering samples and sorts its input, and the rejected rows are read apart
+    checked = stage(validate_contracts(requests, doc), "checked")
     named = checked.where("is_valid").select(
         *requests.columns, F.get_json_object(doc, "$.cmoId").alias("cmo_id"), F.get_json_object(doc, "$.dataDomain").alias("data_domain"))
     created = assign_contract_ids(named, existing, order).withColumns(
