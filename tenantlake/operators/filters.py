@@ -73,6 +73,17 @@ def active_connections(batches: DataFrame, connections: DataFrame) -> DataFrame:
     return batches.select("batch_id", "cmo_id").join(live, "cmo_id")
 
 
+def active_connection_counts(batches: DataFrame, connections: DataFrame) -> DataFrame:
+    """(batch_id, cmo_id, connections, first_connection): number and least id of the active ones of a batch's supplier.
+
+    Connections are reduced to one row per supplier before the join, so the result has one row per batch.
+    """
+    live = connections.where(F.col("status") == "active").groupBy("cmo_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("connection_id").alias("first_connection"))
+    return batches.select("batch_id", "cmo_id").join(live, "cmo_id", "left").select(
+        "batch_id", "cmo_id", F.coalesce("_n", F.lit(0).cast("bigint")).alias("connections"), "first_connection")
+
+
 def text_search(df: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
     """Case-insensitive contains over any of the columns."""
     needle = term.lower()

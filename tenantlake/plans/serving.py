@@ -204,12 +204,21 @@ def keyed_lookups(spark, sf):
 FROM v_batches b JOIN v_contracts c ON c.cmo_id = b.cmo_id AND c.status = 'active' WHERE c.contract_id < 360""",
        ("v_batches", "v_contracts"))
 def active_connections(spark, sf):
-    """Each supplier has up to three connections, those of its first contracts, whatever the number of contracts."""
+    """The pairs of the contracts under 360, as the SQL has it; ``active_connection_counts`` reads all contracts."""
     conns = B.contracts(spark, sf).where(F.col("contract_id") < 3 * B.TENANTS).select(
         F.col("contract_id").alias("connection_id"), "cmo_id", "status")
     return filters.active_connections(B.batch_heads(spark, sf), conns).select("batch_id", "connection_id", "cmo_id")
 
 
+@query("active_connection_counts", "FLT-8 JOIN-5", """SELECT b.batch_id, b.cmo_id, coalesce(c.n, 0) AS connections, c.least AS first_connection
+FROM v_batches b LEFT JOIN (SELECT cmo_id, count(*) AS n, min(contract_id) AS least FROM v_contracts WHERE status = 'active' GROUP BY 1) c
+  ON c.cmo_id = b.cmo_id""", ("v_batches", "v_contracts"))
+def active_connection_counts(spark, sf):
+    """One row per batch over all contracts."""
+    conns = B.contracts(spark, sf).select(F.col("contract_id").alias("connection_id"), "cmo_id", "status")
+    return filters.active_connection_counts(B.batch_heads(spark, sf), conns)
+
+
 @query("text_search", "FLT-9", """SELECT c_custkey, c_name FROM customer
 WHERE contains(lower(c_name), '#00000001') OR contains(lower(c_mktsegment), 'build')""")
 def text_search(spark, sf):
