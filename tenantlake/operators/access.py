@@ -82,6 +82,15 @@ def grant_user(cmo_id: str, user: str, tables: Mapping[str, tuple[DataFrame, Seq
     return grant(grants, entries), isolation_views(cmo_id, tables)
 
 
+def grant_users(cmo_id: str, users: DataFrame, tables: Mapping[str, tuple[DataFrame, Sequence[str]]],
+                grants: DataFrame) -> tuple[DataFrame, dict[str, dict[str, str]]]:
+    """``grant_user`` for every ``principal`` of ``users`` at once: each is crossed with the few entries of a user."""
+    entries = isolation_grants(grants.sparkSession, "", list(tables)).drop("principal").collect()
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in e.asDict().items()]) for e in entries]))
+    new = users.select("principal", each.alias("_e")).select("principal", "_e.*")
+    return grant(grants, new), isolation_views(cmo_id, tables)
+
+
 def isolation_violations(grants: DataFrame) -> DataFrame:
     """Granted tables that do not carry the tenant's prefix, for grants with a ``cmo_id`` column."""
     prefix = F.concat(F.replace("cmo_id", F.lit("-"), F.lit("_")), F.lit("_"))  # cmo_1_ doesn't own cmo_10_...

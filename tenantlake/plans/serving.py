@@ -379,18 +379,28 @@ def grants_after_revoke(spark, sf):
   (VALUES ('', 'DESCRIBE'), ('batch_records', 'SELECT'), ('batch_records', 'DESCRIBE')) v(t, p) WHERE c_custkey <= 20
 UNION ALL SELECT 'rows', 'cmo-3', count(*) FROM v_batch_records WHERE cmo_id = 'cmo-3'""", ("v_batch_records",))
 def user_grant_and_views(spark, sf):
-    """Users are granted a tenant's table one after the other; the view they share shows the tenant's rows."""
+    """The first twenty customers, as the SQL has it; ``all_user_grants_and_views`` grants all."""
+    return _user_grants(spark, sf, B.table(spark, sf, "customer").where("c_custkey <= 20"))
+
+
+def _user_grants(spark, sf, customers):
+    """Users are granted a tenant's table; the view they share shows the tenant's rows."""
     tables = {"batch_records": (B.batch_records(spark, sf), ["price"])}
-    users = [r[0] for r in B.table(spark, sf, "customer").where("c_custkey <= 20").select("c_custkey").collect()]
-    grants = spark.createDataFrame([], access.GRANTS_DDL)
-    for user in users:
-        grants, views = access.grant_user("cmo-3", f"role-{user}", tables, grants)
+    users = customers.select(F.concat(F.lit("role-"), F.col("c_custkey").cast("string")).alias("principal"))
+    grants, views = access.grant_users("cmo-3", users, tables, spark.createDataFrame([], access.GRANTS_DDL))
     seen = spark.table(views["batch_records"]["combined"]).agg(F.count(F.lit(1)).alias("n"))
     items = grants.select(F.lit("grant").alias("kind"), F.concat_ws(
         "|", "principal", F.coalesce("table_name", F.lit("")), "permission").alias("item"), F.lit(1).cast("bigint").alias("n"))
     return items.unionByName(seen.select(F.lit("rows").alias("kind"), F.lit("cmo-3").alias("item"), "n"))
 
 
+@query("all_user_grants_and_views", "ACL-5 ACL-1", """SELECT 'grant' AS kind, concat('role-', c_custkey, '|', t, '|', p) AS item, CAST(1 AS BIGINT) AS n
+FROM (SELECT DISTINCT c_custkey FROM customer), (VALUES ('', 'DESCRIBE'), ('batch_records', 'SELECT'), ('batch_records', 'DESCRIBE')) v(t, p)
+UNION ALL SELECT 'rows', 'cmo-3', count(*) FROM v_batch_records WHERE cmo_id = 'cmo-3'""", ("v_batch_records",))
+def all_user_grants_and_views(spark, sf):
+    return _user_grants(spark, sf, B.table(spark, sf, "customer"))
+
+
 @query("views_after_revoke", "ACL-4", """SELECT CASE WHEN cmo_id = 'cmo-1' THEN 'revoked' ELSE 'kept' END AS state, count(*) AS n
 FROM v_batch_records WHERE cmo_id IN ('cmo-1', 'cmo-2') GROUP BY 1""", ("v_batch_records",))
 def views_after_revoke(spark, sf):

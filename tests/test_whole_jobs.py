@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tenantlake.operators import filters
+from tenantlake.operators import access, filters
+from tenantlake.plans import streams
 from tests.conftest import rows
 
 
@@ -13,3 +14,15 @@ def test_connection_counts_see_every_contract(spark):
     live = [i for i in range(2000) if i % 2 == 0 and i % 3 == 1]
     assert rows(filters.active_connection_counts(heads, conns)) == [
         (1, "cmo-1", len(live), live[0]), (2, "cmo-1", len(live), live[0]), (3, "cmo-9", 0, None)]
+
+
+def test_every_delivery_and_user_is_taken(spark, tmp_path):
+    spark.range(1, 61).selectExpr("id as l_orderkey", "id % 7 as l_suppkey", "id * 2 as l_partkey", "1 as l_linenumber").union(
+        spark.range(1, 61).selectExpr("id", "id % 7", "id * 3", "2")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = streams.all_listed_files(spark, str(tmp_path)).collect()
+    assert sorted((r.cmo_id, r.batch_id, r.accepted) for r in got) == sorted((f"cmo-{i % 7}", str(i), True) for i in range(1, 61))
+    users = spark.range(100).selectExpr("concat('role-', id) as principal")
+    alpha = spark.createDataFrame([("cmo-3", 1.0)], "cmo_id string, price double")
+    got, _ = access.grant_users("cmo-3", users, {"lines": (alpha, ["price"])}, spark.createDataFrame([], access.GRANTS_DDL))
+    one, _ = access.grant_user("cmo-3", "role-57", {"lines": (alpha, ["price"])}, spark.createDataFrame([], access.GRANTS_DDL))
+    assert got.count() == 300 and rows(access.list_grants(got, "role-57")) == rows(one)
