@@ -4,8 +4,11 @@ Symbols are words (runs of letters and digits after lower-casing). A window of a
 random walk: at each of three times its length steps the present word is copied out, and a random bit of (step,
 word) says whether to move on to the next. Windows few edits apart walk in step again soon after each edit, so
 their embeddings differ in few places. Repeated samples of places are the hash keys under which windows and items
-meet; pairs that meet are verified exactly. Windows that share too few runs of q words with the items to be within
-the allowed edits (an edit takes away q of an item's runs at most) are not embedded.
+meet, and so do a window and an item with one of the item's rarest runs of two words, of which one more is taken than
+the allowed edits can break: walks lose step when words are inserted or removed, a whole run does not. Pairs that meet
+are verified exactly, with a free end: the passage may have up to the allowed edits more or fewer words than the item.
+Windows that share too few runs of q words with the items to be within the allowed edits (an edit takes away q of an
+item's runs at most) are not embedded.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ PLACES = 3
 ITEM_ROWS = 50_000
 #: Lengths of the runs of words that are counted before a window is embedded.
 RUNS = (3, 2)
+#: Length of the runs of which an item's rarest are looked up.
+_RARE = 2
 _BLOCK = 2048
 _ROWS = 1 << 14
 _PART_OF_WORD = np.array([97 <= c < 123 or 48 <= c < 58 or c >= 128 for c in range(256)], np.int8)
@@ -87,7 +92,7 @@ def sampled_keys(embedded: np.ndarray, length: int) -> np.ndarray:
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Word edit distance of each row of ``a`` to the first ``lengths`` words of the row of ``b``."""
+    """Least word edit distance of each row of ``a`` to a beginning, of up to ``lengths`` words, of the row of ``b``."""
     n, width = len(a), b.shape[1]
     row = np.tile(np.arange(width + 1), (n, 1))
     for i in range(a.shape[1]):
@@ -97,7 +102,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndar
         swap = above[:, :-1] + (b != a[:, i:i + 1])
         for j in range(width):
             row[:, j + 1] = np.minimum(np.minimum(above[:, j + 1], row[:, j]) + 1, swap[:, j])
-    return row[np.arange(n), lengths]
+    return np.where(np.arange(width + 1) <= lengths[:, None], row, a.shape[1] + 1).min(1)
 
 
 class Items:
@@ -108,7 +113,10 @@ class Items:
         sizes = np.diff(edges)
         runs = {q: [_runs(hashes[s:e], q) for s, e in zip(edges, edges[1:])] for q in RUNS}
         self.runs = {q: HashIndex(np.unique(np.concatenate([np.zeros(0, np.uint64), *runs[q]]))) for q in RUNS}
+        number = [np.unique(self.runs[_RARE].find(r)) for r in runs[_RARE]]
+        often = np.bincount(np.concatenate([np.zeros(0, np.int32), *number]), minlength=len(self.runs[_RARE].keys))
         self.groups = {}
+        self.rare = {}
         for length in np.unique(sizes[sizes > 0]).tolist():
             which = np.flatnonzero(sizes == length)
             words = np.stack([hashes[edges[i]:edges[i + 1]] for i in which])
@@ -118,6 +126,10 @@ class Items:
             again = {q: max(len(runs[q][i]) - len(np.unique(runs[q][i])) for i in which.tolist()) for q in RUNS}
             edits = allowed(length, similarity)
             needed = {q: length - q + 1 - q * edits - again[q] for q in RUNS}
+            kept = _RARE * edits + 1  # of so many different runs one is left whole
+            rare = [(r, k) for k, i in enumerate(which.tolist()) if len(number[i]) >= kept
+                    for r in number[i][np.argsort(often[number[i]], kind="stable")[:kept]].tolist()]
+            self.rare[length] = np.array(sorted(rare), np.int64).reshape(-1, 2)
             own = {}
             for q in RUNS:
                 own[q] = np.zeros(len(self.runs[q].keys) + 1, bool)  # the last is for no run
@@ -143,14 +155,14 @@ class Items:
             fresh = (number >= 0) & (np.concatenate(([-1], number[:-1])) != number)
             run[q], total[q] = number, np.concatenate(([0], np.cumsum(fresh)))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        longest = max(self.groups)
+        longest = max(length + edits for length, (*_, edits, _, _) in self.groups.items())
         start = np.arange(n)
         for q in RUNS:  # starts at which no item of any length can be
             least = min(needed[q] for *_, needed, _ in self.groups.values()) - 1
             start = start[total[q][np.minimum(start + longest, n)] - total[q][start] >= least]
         windows, lengths = [], []
         for length, (*_, edits, needed, own) in self.groups.items():
-            here, stop = start, np.minimum(start + length, end[start])
+            here, stop = start, np.minimum(start + length + edits, end[start])
             fits = stop - start >= length - edits
             for q in RUNS:
                 fits &= total[q][np.maximum(stop - q + 1, start)] - total[q][start] + 1 >= needed[q]
@@ -158,25 +170,29 @@ class Items:
             for q in RUNS:
                 if needed[q] > 0:
                     here = np.concatenate([here[:0], *[
-                        x[_distinct(run[q], own[q], x, np.minimum(x + length, end[x]) - q + 1, length - q + 1) >= needed[q]]
+                        x[_distinct(run[q], own[q], x, np.minimum(x + length + edits, end[x]) - q + 1, length + edits - q + 1)
+                          >= needed[q]]
                         for x in np.split(here, range(_ROWS, len(here), _ROWS))]])
             windows.append(here)
             lengths.append(np.full(len(here), length))
         windows, lengths = np.concatenate(windows), np.concatenate(lengths)
         for lo in range(0, len(windows), _BLOCK):
             here, longest = windows[lo:lo + _BLOCK], int(lengths[lo:lo + _BLOCK].max())
-            size = np.minimum(lengths[lo:lo + _BLOCK], end[here] - here)
-            at = here[:, None] + np.arange(longest)
-            rows = np.where(np.arange(longest) < size[:, None], hashes[np.minimum(at, n - 1)], np.uint64(0))
-            embedded = embed(rows, 3 * longest)
+            reach = lengths[lo:lo + _BLOCK] + np.array([self.groups[x][4] for x in lengths[lo:lo + _BLOCK].tolist()])
+            size = np.minimum(reach, end[here] - here)
+            at = here[:, None] + np.arange(reach.max())
+            rows = np.where(np.arange(reach.max()) < size[:, None], hashes[np.minimum(at, n - 1)], np.uint64(0))
+            embedded = embed(np.where(np.arange(longest) < lengths[lo:lo + _BLOCK, None], rows[:, :longest], np.uint64(0)), 3 * longest)
+            inside = np.where(np.arange(reach.max()) + _RARE <= size[:, None], run[_RARE][np.minimum(at, n - 1)], -1)
             for length in np.unique(lengths[lo:lo + _BLOCK]).tolist():
                 ids, words, sorted_keys, order, edits, _, _ = self.groups[length]
                 mine = np.flatnonzero(lengths[lo:lo + _BLOCK] == length)
-                pairs = _meet(sampled_keys(embedded[:3 * length, :, mine], length), sorted_keys, order)
+                pairs = np.unique(np.concatenate((_meet(sampled_keys(embedded[:3 * length, :, mine], length), sorted_keys, order),
+                                                  _share(inside[mine], self.rare[length]))), axis=0)
                 for p in range(0, len(pairs), _BLOCK):
                     w, i = pairs[p:p + _BLOCK].T
                     w = mine[w]
-                    distance = edit_distances(words[i], rows[w, :length], size[w])
+                    distance = edit_distances(words[i], rows[w, :length + edits], size[w])
                     for k in np.flatnonzero(distance <= edits).tolist():
                         text = int(owner[here[w[k]]])
                         found = (int(distance[k]), int(here[w[k]] - edges[text]), length)
@@ -216,6 +232,14 @@ def _meet(mine: np.ndarray, theirs: np.ndarray, order: np.ndarray) -> np.ndarray
     return np.unique(np.concatenate(found), axis=0)
 
 
+def _share(runs: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Distinct (row, item) pairs of rows of run numbers and items with one of those runs; ``rare``: (run, item), sorted."""
+    lo, hi = np.searchsorted(rare[:, 0], runs.ravel(), "left"), np.searchsorted(rare[:, 0], runs.ravel(), "right")
+    n = hi - lo
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    return np.unique(np.stack((np.repeat(np.arange(runs.size) // runs.shape[1], n), rare[at, 1]), 1), axis=0)
+
+
 def _slices(benchmark: DataFrame, rows: int) -> Iterator[tuple[list, list]]:
     """Items in parts of about ``rows``; the driver holds one part at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
@@ -228,8 +252,8 @@ def _slices(benchmark: DataFrame, rows: int) -> Iterator[tuple[list, list]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, item_rows: int = ITEM_ROWS) -> DataFrame:
     """doc_id, item_id, first_word, distance, similarity: the best window of each document that holds an item.
 
-    An item is held if a window of as many words as the item has (or the document's last words, if fewer are left)
-    is within (1 - similarity) of them in word edits. Items without words and null items are never held, nor does
+    An item is held if a passage of the document, longer or shorter than the item by as many words as edits are allowed,
+    is within (1 - similarity) of the item's words in word edits. Items without words and null items are never held, nor does
     a null or empty text hold any; items of equal texts are each reported. Repeated documents are each searched.
     """
     spark = docs.sparkSession
