@@ -3,9 +3,9 @@
 The standard library's parser streams its events into lines (blocks of text between block-level tags). Each line
 has a ratio of characters to tags; the ratios are smoothed with a Gaussian along the page and cut at a threshold
 into content and the rest. A content region is the element that holds lines above the threshold: all its lines
-are taken, so short paragraphs and headings of an article stay. Elements that are no article text by what they
-are (menus, forms, scripts) or by how they are named (``class="ad"``) yield no lines at all.
-"""
+are taken, so short paragraphs and headings of an article stay. ``<article>`` and ``<main>`` join the regions inside
+them and discard nothing elsewhere. Elements that are no article text by what they are (menus, forms, scripts)
+or by how they are named (``class="ad"``) yield no lines at all."""
 
 from __future__ import annotations
 
@@ -28,6 +28,9 @@ _INLINE = frozenset(
 _NEVER = frozenset(
     "head title script style noscript template iframe object svg canvas math form button select option textarea input "
     "label fieldset nav footer aside dialog menu audio video".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Block elements whose lines belong to the element around them.
+_PARTS = _HEADINGS | {"p", "li", "html"}
 _ROOTS = frozenset("article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _NAMES = frozenset(
@@ -61,23 +64,28 @@ def _is_boilerplate(tag: str, attrs: list, in_root: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, element, root) of each line; element and root number the elements that hold it."""
+    """Collects (text, tags, element, root, doubtful elements, heading, linked) of each line.
+
+    Element, root and the doubtful elements are numbers of elements that hold the line.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, number, boilerplate, root
+        self.lines: list[tuple[str, int, int, int, tuple[int, ...], bool, bool]] = []
+        self.open: list[tuple[str, int, bool, int, tuple[int, ...]]] = []  # tag, number, boilerplate, root, doubtful
         self.parts: list[str] = []
-        self.tags = self.numbered = self.skipped = 0
+        self.tags = self.numbered = self.skipped = self.linked = 0
+        self.in_link = False
 
     def _break(self) -> None:
         if self.parts:
             text = _WHITE.sub(" ", "".join(self.parts)).strip()
             self.parts.clear()
             if text:
-                _, number, _, root = self.open[-1] if self.open else ("", 0, False, 0)
-                self.lines.append((text, self.tags, number, root))
+                tag, number, _, root, doubtful = next((x for x in reversed(self.open) if x[0] not in _INLINE), ("", 0, False, 0, ()))
+                self.lines.append((text, self.tags, number, root, doubtful, tag in _HEADINGS, 2 * self.linked > len(text)))
                 self.tags = 0
+        self.linked = 0
 
     def _pop(self) -> None:
         self.skipped -= self.open.pop()[2]
@@ -86,24 +94,36 @@ class _Lines(HTMLParser):
         block = tag not in _INLINE
         if block:
             self._break()
-            while self.open and self.open[-1][0] == "p":  # an open paragraph ends at the next block
-                self._pop()
-            if tag == "li" and self.open and self.open[-1][0] == "li":
-                self._pop()
+            self._end_at_block("p")  # an open paragraph ends at the next block
+            if tag == "li":
+                self._end_at_block("li")
         self.tags += 1
+        if tag == "a":
+            self.in_link = True
         if tag in _VOID:
             if tag == "br" and not self.skipped:
                 self.parts.append(" ")
             return
-        root = self.open[-1][3] if self.open else 0
+        _, number, _, root, doubtful = self.open[-1] if self.open else ("", 0, False, 0, ())
         drop = _is_boilerplate(tag, attrs, root > 0)
-        if drop or (block and tag not in ("p", "li", "html")):
-            self.numbered += 1
+        if drop or block:
+            if drop or tag not in _PARTS:
+                self.numbered += 1
+                number = self.numbered
             if tag in _ROOTS and not root:
-                root = self.numbered
-            self.open.append((tag, self.numbered, drop, root))
+                root = number
+            self.open.append((tag, number, drop, root, doubtful))
             self.skipped += drop
 
+    def _end_at_block(self, tag: str) -> None:
+        """Close the innermost block if it is such a one, with the inline elements left open in it."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] not in _INLINE:
+                if self.open[i][0] == tag:
+                    while len(self.open) > i:
+                        self._pop()
+                return
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and tag in ("svg", "math", "path"):
@@ -113,6 +133,9 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in _INLINE:
             self._break()
+            self.in_link = False
+        elif tag == "a":
+            self.in_link = False
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 while len(self.open) > i:
@@ -122,6 +145,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.skipped:
             self.parts.append(data)
+            self.linked += len(data) * self.in_link
 
 
 def _smoothed(ratios: list[float], sigma: float) -> list[float]:
@@ -135,6 +159,14 @@ def _smoothed(ratios: list[float], sigma: float) -> list[float]:
     return out
 
 
+def _cut(ratios: list[float], sigma: float) -> tuple[list[bool], float]:
+    """Whether each line is content by its smoothed ratio, and the threshold."""
+    smooth = _smoothed(ratios, sigma)
+    mean = sum(smooth) / len(smooth)
+    threshold = min(max(smooth), math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    return [x >= threshold for x in smooth], threshold
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article of one page, its blocks joined by a newline; empty for null, empty and boilerplate-only pages."""
     if not html:
@@ -146,17 +178,23 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = [len(t) / max(1, tags) for t, tags, _, _ in lines]
-    smooth = _smoothed(ratios, sigma)
-    mean = sum(smooth) / len(smooth)
-    threshold = min(max(smooth), math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
-    content = [x >= threshold for x in smooth]
-    roots = {root for (_, _, _, root), yes in zip(lines, content) if yes and root}
-    if roots:  # the page marks its article
-        return "\n".join(t for t, _, _, root in lines if root in roots)
-    # elsewhere an element is content if one of its own lines is, not only its neighbours'
-    holders = {element for (_, _, element, _), yes, r in zip(lines, content, ratios) if yes and r >= threshold}
-    return "\n".join(t for (t, _, element, _), yes in zip(lines, content) if element in holders or (yes and not holders))
+    ratios = [len(x[0]) / max(1, x[1]) for x in lines]
+    content, threshold = _cut(ratios, sigma)
+    strong = [yes and r >= threshold for yes, r in zip(content, ratios)]
+    # an element is content if one of its own lines is, not only its neighbours'
+    holders = {x[2] for x, yes in zip(lines, strong) if yes}
+    keep = [x[2] in holders or (yes and not holders) for x, yes in zip(lines, content)]
+    spans: dict[int, tuple[int, int]] = {}
+    for i, (x, yes) in enumerate(zip(lines, keep)):
+        if x[3] and yes:
+            spans[x[3]] = (spans.get(x[3], (i, i))[0], i)
+    for root, (first, last) in spans.items():  # regions of one article are joined, link lists between them are not
+        for i in range(first, last):
+            keep[i] |= lines[i][3] == root and not lines[i][6]
+        while first and lines[first - 1][3] == root and lines[first - 1][5]:
+            first -= 1  # headings in an element of their own
+            keep[first] = True
+    return "\n".join(x[0] for x, yes in zip(lines, keep) if yes)
 
 
 def extract_pages(pages: DataFrame, html: str = "html", sigma: float = SIGMA) -> DataFrame:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 
-from tenantlake.llm import decontaminate
+import pytest
+
+from tenantlake.llm import decontaminate, html_extract
+from tenantlake.llm.common import table
+from tests.llm.data import SF
+
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables are not here")
 
 
 def least_distance(item, text):
@@ -45,3 +53,29 @@ def test_leak_of_forty_words_with_five_in_the_middle():
     shorter = " ".join([*words[:18], *words[23:]])
     for text in (longer, shorter):
         assert [(i, d) for _, i, _, d, _ in known.find([f"{around} {text} {around}"])] == [(7, 5)]
+
+
+STORY = [("sentence %d of the story, long enough to be read as text, and then some more of it. " % k) * 4 for k in range(6)]
+STORY = [s.strip() for s in STORY]
+
+
+def test_story_in_a_plain_div_beside_teasers():
+    teasers = "".join(f"<article><a href=/{k}><p>Teaser {k} says a whole sentence of text about another page of ours, to be read there "
+                      f"and not here, however long it goes on and on and on.</p></a></article>" for k in range(3))
+    page = f"<body><div><h1>Story</h1>{''.join(f'<p>{s}</p>' for s in STORY)}</div><div>{teasers}</div></body>"
+    got = html_extract.main_text(page).split("\n")
+    assert got[:7] == ["Story", *STORY]
+
+
+def test_links_inside_an_article_are_judged_by_their_ratio():
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(12)) + "</ul>"
+    paragraphs = [f"<p>{s}</p>" for s in STORY]
+    page = f"<body><article>{''.join(paragraphs[:3])}{links}{''.join(paragraphs[3:])}</article></body>"
+    assert html_extract.main_text(page).split("\n") == STORY
+
+
+@needs_tables
+def test_shared_pages_without_their_article_tags(spark):
+    for r in table(spark, SF, "pages").collect():
+        for bare in (re.sub(r"</?(?:article|main)\b[^>]*>", "", r.html), re.sub(r"(?<=[</])(?:article|main)\b", "div", r.html)):
+            assert html_extract.main_text(bare) == html_extract.main_text(r.html) != ""
