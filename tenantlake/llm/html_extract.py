@@ -4,8 +4,10 @@ The standard library's parser streams its events into lines (blocks of text betw
 has a ratio of characters to tags; the ratios are smoothed with a Gaussian along the page and cut at a threshold
 into content and the rest. A content region is the element that holds lines above the threshold: all its lines
 are taken, so short paragraphs and headings of an article stay. ``<article>`` and ``<main>`` join the regions inside
-them and discard nothing elsewhere. Elements that are no article text by what they are (menus, forms, scripts)
-or by how they are named (``class="ad"``) yield no lines at all."""
+them and discard nothing elsewhere. Elements that are no article text by what they are (menus, scripts) yield no lines
+at all. A form or a name (``class="ad"``) is evidence that lowers the ratios of the lines inside, unless the element
+holds most of the page's text or its largest cluster.
+"""
 
 from __future__ import annotations
 
@@ -26,8 +28,9 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset(
-    "head title script style noscript template iframe object svg canvas math form button select option textarea input "
-    "label fieldset nav footer aside dialog menu audio video".split())
+    "head title script style noscript template iframe object svg canvas math button select option textarea input "
+    "label nav footer aside dialog menu audio video".split())
+_FORMS = frozenset("form fieldset".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Block elements whose lines belong to the element around them.
 _PARTS = _HEADINGS | {"p", "li", "html"}
@@ -40,27 +43,52 @@ _NAMES = frozenset(
     "newsletter subscribe subscription signup login search form share sharing social related recommended comment "
     "comments commentlist reply replies respond disqus discussion pagination pager widget widgets disclaimer skip "
     "hidden".split())
-_WORDS = re.compile(r"[a-z]+")
+#: Last parts of a name that say nothing: ``ad-container`` is named ``ad``.
+_HOLDERS = frozenset(
+    "area bar block box container group holder inner item items left link links list outer panel posts right row section "
+    "slot unit wrap wrapper".split())
+#: First parts of a name that says what an element has or is about, not what it is.
+_ABOUT = frozenset("has no with without category tag".split())
+_OWN_HEADERS = frozenset("article content entry post story".split())
+#: What a line's ratio is multiplied by if its element is a form or named as boilerplate.
+LOWERED = 0.1
+#: One line of fewer characters in an element so named is a notice, even if the page has less text elsewhere.
+NOTICE = 140
+_LETTERS = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 
 
+def _named(names: str, in_root: bool) -> bool:
+    """Whether a class or id token is one of the names, by the whole or its last part."""
+    for token in names.lower().split():
+        parts = _LETTERS.findall(token)
+        if not parts or parts[0] in _ABOUT:
+            continue
+        while len(parts) > 1 and parts[-1] in _HOLDERS:
+            parts.pop()
+        if parts[-1] in _NAMES and not (parts[-1] == "header" and (in_root or parts[0] in _OWN_HEADERS)):
+            return True
+    return False
+
+
 def _is_boilerplate(tag: str, attrs: list, in_root: bool) -> bool:
+    """No article text by what it is."""
     if tag in _NEVER or (tag == "header" and not in_root):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if not value:
-            continue
-        if name in ("class", "id") and not _NAMES.isdisjoint(_WORDS.findall(value.lower())):
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true")
+               or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
+
+
+def _is_doubtful(tag: str, attrs: list, in_root: bool) -> bool:
+    """A form, or named as boilerplate."""
+    if tag in _FORMS:
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    return any(value and ((name in ("class", "id") and _named(value, in_root)) or (name == "role" and value.lower() in _ROLES))
+               for name, value in attrs)
 
 
 class _Lines(HTMLParser):
@@ -105,14 +133,15 @@ class _Lines(HTMLParser):
                 self.parts.append(" ")
             return
         _, number, _, root, doubtful = self.open[-1] if self.open else ("", 0, False, 0, ())
-        drop = _is_boilerplate(tag, attrs, root > 0)
+        drop, doubt = _is_boilerplate(tag, attrs, root > 0), _is_doubtful(tag, attrs, root > 0)
+        drop |= doubt and not block  # a part of a line can't be judged as a line
         if drop or block:
-            if drop or tag not in _PARTS:
+            if drop or doubt or tag not in _PARTS:
                 self.numbered += 1
                 number = self.numbered
             if tag in _ROOTS and not root:
                 root = number
-            self.open.append((tag, number, drop, root, doubtful))
+            self.open.append((tag, number, drop, root, (*doubtful, number) if doubt else doubtful))
             self.skipped += drop
 
     def _end_at_block(self, tag: str) -> None:
@@ -167,6 +196,23 @@ def _cut(ratios: list[float], sigma: float) -> tuple[list[bool], float]:
     return [x >= threshold for x in smooth], threshold
 
 
+def _trusted(lines: list[tuple], ratios: list[float], content: list[bool]) -> set[int]:
+    """Doubtful elements that hold most of the page's text or all of its largest cluster; text counts by its ratio."""
+    held: dict[int, float] = {}
+    weights = [len(x[0]) * r for x, r in zip(lines, ratios)]
+    for x, weight in zip(lines, weights):
+        for e in x[4]:
+            held[e] = held.get(e, 0) + weight
+    total, largest, start = sum(weights), (0.0, 0, 0), 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not content[i]:
+            largest = max(largest, (sum(weights[start:i]), start, i))
+            start = i + 1
+    inside = [set(x[4]) for x in lines[largest[1]:largest[2]]]
+    found = {e for e, n in held.items() if 2 * n > total} | (set.intersection(*inside) if inside else set())
+    return {e for e in found if len(own := [len(x[0]) for x in lines if e in x[4]]) > 1 or own[0] >= NOTICE}
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article of one page, its blocks joined by a newline; empty for null, empty and boilerplate-only pages."""
     if not html:
@@ -179,19 +225,25 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not lines:
         return ""
     ratios = [len(x[0]) / max(1, x[1]) for x in lines]
+    doubted = [False] * len(lines)
+    if any(x[4] for x in lines):
+        trusted = _trusted(lines, ratios, _cut(ratios, sigma)[0])
+        doubted = [not trusted.issuperset(x[4]) for x in lines]
+        ratios = [r * LOWERED if d else r for r, d in zip(ratios, doubted)]
     content, threshold = _cut(ratios, sigma)
     strong = [yes and r >= threshold for yes, r in zip(content, ratios)]
     # an element is content if one of its own lines is, not only its neighbours'
-    holders = {x[2] for x, yes in zip(lines, strong) if yes}
-    keep = [x[2] in holders or (yes and not holders) for x, yes in zip(lines, content)]
+    holders = {x[2] for x, yes, d in zip(lines, strong, doubted) if yes and not d}
+    keep = [yes if d else x[2] in holders or (yes_too and not holders)
+            for x, yes, yes_too, d in zip(lines, strong, content, doubted)]
     spans: dict[int, tuple[int, int]] = {}
-    for i, (x, yes) in enumerate(zip(lines, keep)):
-        if x[3] and yes:
+    for i, (x, yes, d) in enumerate(zip(lines, keep, doubted)):
+        if x[3] and yes and not d:
             spans[x[3]] = (spans.get(x[3], (i, i))[0], i)
     for root, (first, last) in spans.items():  # regions of one article are joined, link lists between them are not
         for i in range(first, last):
-            keep[i] |= lines[i][3] == root and not lines[i][6]
-        while first and lines[first - 1][3] == root and lines[first - 1][5]:
+            keep[i] |= lines[i][3] == root and not lines[i][6] and not doubted[i]
+        while first and lines[first - 1][3] == root and lines[first - 1][5] and not doubted[first - 1]:
             first -= 1  # headings in an element of their own
             keep[first] = True
     return "\n".join(x[0] for x, yes in zip(lines, keep) if yes)

@@ -79,3 +79,22 @@ def test_shared_pages_without_their_article_tags(spark):
     for r in table(spark, SF, "pages").collect():
         for bare in (re.sub(r"</?(?:article|main)\b[^>]*>", "", r.html), re.sub(r"(?<=[</])(?:article|main)\b", "div", r.html)):
             assert html_extract.main_text(bare) == html_extract.main_text(r.html) != ""
+
+
+@pytest.mark.parametrize("around", [
+    "<article class='post category-advertising'>", "<div id='page' class='has-sidebar'>", "<form action=/x>",
+    "<div class='col hidden-xs-down widget-area-off content'>", "<div class='sidebar'>", "<div class='content-sidebar-wrap'>"])
+def test_a_name_does_not_silence_most_of_a_page(around):
+    close = "</" + re.match(r"<(\w+)", around)[1] + ">"
+    page = f"<body><nav><a>Home</a></nav>{around}{''.join(f'<p>{s}</p>' for s in STORY)}{close}<div class='ad-box'>Buy this</div></body>"
+    assert html_extract.main_text(page).split("\n") == STORY
+
+
+def test_heading_in_an_articles_own_header():
+    page = f"<article><header class='entry-header'><h1>Story</h1></header>{''.join(f'<p>{s}</p>' for s in STORY)}</article>"
+    assert html_extract.main_text(page).split("\n") == ["Story", *STORY]
+
+
+def test_an_unclosed_named_inline_element_ends_with_its_block():
+    page = f"<article><p>{STORY[0]} <span class='ad'>Buy</p>{''.join(f'<p>{s}</p>' for s in STORY[1:])}</article>"
+    assert html_extract.main_text(page).split("\n") == STORY
