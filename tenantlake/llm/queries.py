@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tenantlake.llm import (
     decontaminate,
+    exact_dedup,
+    filter_audit,
     fingerprints,
     html_extract,
     language,
@@ -18,6 +20,7 @@ from tenantlake.llm import (
     simhash,
     tokens,
     toxicity,
+    whitening,
 )
 from tenantlake.llm.common import table
 
@@ -80,3 +83,51 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ORDERS = """letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step))"""
+
+SQL["op11_filter_interaction_audit"] = f"""WITH {_ORDERS},
+words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flags AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END,
+  CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+  CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS failed FROM words),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY 1),
+marked AS (SELECT part, failed, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM flags LEFT JOIN known USING (doc_id)),
+passed AS (SELECT part, filter_order, step, own, failed, good, toxic, contains(failed, own) AS fails,
+  len(failed) > 0 AND translate(failed, earlier, '') <> failed AS gone FROM marked, steps),
+counts AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, count(*) FILTER (WHERE NOT fails AND NOT gone) AS kept,
+  count(*) FILTER (WHERE fails AND NOT gone) AS removed, count(*) FILTER (WHERE fails AND gone) AS redundant,
+  count(*) FILTER (WHERE failed = own) AS unique_fails, count(*) FILTER (WHERE fails AND NOT gone AND good = 1) AS good_lost,
+  count(*) FILTER (WHERE fails AND NOT gone AND toxic = 1) AS toxic_lost FROM passed GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counts"""
+
+
+@query
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_exact_dedup"] = f"""SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.UPPER.lower()}') AS t FROM documents)
+WINDOW same AS (PARTITION BY t)"""
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
