@@ -30,6 +30,7 @@ _STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "1",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # a store is small beside what it would reserve
     "spark.sql.streaming.numRecentProgressUpdates": "4",
 }
 
