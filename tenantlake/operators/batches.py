@@ -72,8 +72,8 @@ def new_batches(requests: DataFrame, now: Column) -> DataFrame:
 def apply_receipts(batches: DataFrame, receipts: DataFrame) -> DataFrame:
     """Mark received elements from (batch_id, element_type, received_at, s3_path) rows.
 
-    The first receipt time is kept, the latest non-null path wins. Receipts of no or an unknown element change
-    nothing; ``rejected_receipts`` returns them. Receipts are aggregated to one row
+    The first receipt time is kept, the latest non-null path wins. An optional element is added to its batch when it
+    is received. Receipts of no or an unknown element change nothing; ``rejected_receipts`` returns them. Receipts are aggregated to one row
     per batch and element, then to one small map per batch, before the single join.
     """
     newest = F.max_by("s3_path", F.when(F.col("s3_path").isNotNull(), F.struct("received_at", "s3_path")))
@@ -90,9 +90,15 @@ def apply_receipts(batches: DataFrame, receipts: DataFrame) -> DataFrame:
             F.coalesce(e["received_at"], hit["first_at"].cast("timestamp")),
             F.coalesce(hit["path"], e["s3_path"]), e["overdue"]))
 
+    def added(kind: Column) -> Column:
+        hit = F.try_element_at(F.col("_receipts"), kind)
+        return element(kind, F.lit(True), hit["first_at"].cast("timestamp"), hit["path"], F.lit(False))
+
     joined = batches.join(per_batch, "batch_id", "left")
-    updated = joined.withColumn("data_elements", F.when(
-        F.col("_receipts").isNull(), F.col("data_elements")).otherwise(F.transform("data_elements", received)))
+    optional = F.filter(F.array(*[F.lit(e) for e in OPTIONAL_ELEMENTS]), lambda k: F.map_contains_key("_receipts", k)
+                        & ~F.exists("data_elements", lambda e: e["element_type"] == k))
+    updated = joined.withColumn("data_elements", F.when(F.col("_receipts").isNull(), F.col("data_elements")).otherwise(
+        F.concat(F.transform("data_elements", received), F.transform(optional, added))))
     return with_missing(updated.drop("_receipts")).select(*dict.fromkeys(
         [*batches.columns, "missing_elements", "is_complete"]))
 

@@ -125,15 +125,27 @@ def empty_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches whose elements are received when a line with the element's number was delivered."""
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") <= 4)
-    first = li.groupBy(F.col("l_orderkey").alias("batch_id")).agg(*[
+    """Batches whose elements are received when a line with the element's number was delivered, optional ones only then."""
+    kinds = (*REQUIRED_ELEMENTS, *OPTIONAL_ELEMENTS)
+    first = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id")).agg(*[
         F.min(F.when(F.col("l_linenumber") == i + 1, F.col("l_shipdate"))).cast("timestamp").alias(e)
-        for i, e in enumerate(REQUIRED_ELEMENTS)])
+        for i, e in enumerate(kinds)])
     joined = batch_heads(spark, sf).join(first, "batch_id", "left")
     items = F.array(*[element(e, F.col(e).isNotNull(), F.col(e), F.lit(None).cast("string"), F.lit(False))
-                      for e in REQUIRED_ELEMENTS]).cast(ELEMENTS_TYPE)
-    return with_missing(joined.withColumn("data_elements", items).drop(*REQUIRED_ELEMENTS))
+                      for e in kinds]).cast(ELEMENTS_TYPE)
+    there = F.filter(items, lambda e: e["element_type"].isin(*REQUIRED_ELEMENTS) | e["received"])
+    return with_missing(joined.withColumn("data_elements", there).drop(*kinds))
+
+
+def connections(spark: SparkSession, sf: str) -> DataFrame:
+    """Connections of suppliers, eight customers a supplier, so that their number per supplier doesn't grow."""
+    return contracts(spark, sf).select(
+        F.col("contract_id").alias("connection_id"), _tenant(F.floor(F.col("contract_id") / 8)).alias("cmo_id"), "status")
+
+
+def supplied_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """(batch_id, cmo_id): batches of those suppliers."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("batch_id"), _tenant(F.floor(F.col("o_custkey") / 8)).alias("cmo_id"))
 
 
 def executions(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,12 +239,13 @@ SQL_VIEWS = {
   concat('P', o_orderkey % 2500) AS product_id, concat('cmo-', o_custkey % {TENANTS}) AS cmo_id,
   o_custkey AS contract_id, CAST(o_orderdate AS DATE) AS manufacturing_date,
   CASE o_orderstatus WHEN 'O' THEN 'in_progress' WHEN 'P' THEN 'submitted' ELSE 'complete' END AS status,
-  o_totalprice AS yield_value, bmr, coa, in_process, "yield"
+  o_totalprice AS yield_value, bmr, coa, in_process, "yield", deviation, env_monitoring, equipment_logs
   FROM orders LEFT JOIN (SELECT l_orderkey,
     min(CASE WHEN l_linenumber = 1 THEN l_shipdate END) AS bmr, min(CASE WHEN l_linenumber = 2 THEN l_shipdate END) AS coa,
     min(CASE WHEN l_linenumber = 3 THEN l_shipdate END) AS in_process,
-    min(CASE WHEN l_linenumber = 4 THEN l_shipdate END) AS "yield"
-    FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey) r ON l_orderkey = o_orderkey""",
+    min(CASE WHEN l_linenumber = 4 THEN l_shipdate END) AS "yield", min(CASE WHEN l_linenumber = 5 THEN l_shipdate END) AS deviation,
+    min(CASE WHEN l_linenumber = 6 THEN l_shipdate END) AS env_monitoring, min(CASE WHEN l_linenumber = 7 THEN l_shipdate END) AS equipment_logs
+    FROM lineitem GROUP BY l_orderkey) r ON l_orderkey = o_orderkey""",
     "v_executions": f"""SELECT event_id AS execution_id, user_id AS contract_id,
   concat('cmo-', user_id % {TENANTS}) AS cmo_id, ts, event_type <> 'error' AS success,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, value AS execution_time_seconds,

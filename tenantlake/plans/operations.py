@@ -61,6 +61,19 @@ def apply_receipts(spark, sf):
                        F.unix_timestamp(items[0]["received_at"]).alias("bmr_at"), items[1]["s3_path"].alias("coa_path"))
 
 
+@query("optional_elements", "BAT-2 BAT-3", """SELECT batch_id, concat_ws(',', CASE WHEN deviation IS NOT NULL THEN 'deviation' END,
+  CASE WHEN env_monitoring IS NOT NULL THEN 'env_monitoring' END, CASE WHEN equipment_logs IS NOT NULL THEN 'equipment_logs' END) AS optional,
+  CAST(epoch(deviation) AS BIGINT) AS deviation_at FROM v_batches WHERE coalesce(deviation, env_monitoring, equipment_logs) IS NOT NULL""", _BAT)
+def optional_elements(spark, sf):
+    """Batches that receive elements beyond the four required ones."""
+    done = batches.apply_receipts(B.empty_batches(spark, sf), B.receipts(spark, sf))
+    extra = F.filter("data_elements", lambda e: ~e["element_type"].isin(*batches.REQUIRED_ELEMENTS))
+    first = F.get(F.filter(extra, lambda e: e["element_type"] == "deviation"), F.lit(0))["received_at"]
+    return done.where(F.size(extra) > 0).select(
+        "batch_id", F.array_join(F.transform(extra, lambda e: e["element_type"]), ",").alias("optional"),
+        F.unix_timestamp(first).alias("deviation_at"))
+
+
 @query("missing_elements", "BAT-3 FLT-10", f"""SELECT batch_id, {_MISSING} AS missing FROM v_batches
 WHERE bmr IS NULL OR coa IS NULL OR in_process IS NULL OR "yield" IS NULL""", _BAT)
 def missing_elements(spark, sf):

@@ -200,14 +200,11 @@ def keyed_lookups(spark, sf):
     return out
 
 
-@query("active_connections", "FLT-8 JOIN-5", """SELECT b.batch_id, c.contract_id AS connection_id, b.cmo_id
-FROM v_batches b JOIN v_contracts c ON c.cmo_id = b.cmo_id AND c.status = 'active' WHERE c.contract_id < 360""",
-       ("v_batches", "v_contracts"))
+@query("active_connections", "FLT-8 JOIN-5", """SELECT o_orderkey AS batch_id, c_custkey AS connection_id, concat('cmo-', o_custkey // 8) AS cmo_id
+FROM orders JOIN customer ON c_custkey // 8 = o_custkey // 8 AND c_custkey % 4 NOT IN (0, 1)""")
 def active_connections(spark, sf):
-    """The pairs of the contracts under 360, as the SQL has it; ``active_connection_counts`` reads all contracts."""
-    conns = B.contracts(spark, sf).where(F.col("contract_id") < 3 * B.TENANTS).select(
-        F.col("contract_id").alias("connection_id"), "cmo_id", "status")
-    return filters.active_connections(B.batch_heads(spark, sf), conns).select("batch_id", "connection_id", "cmo_id")
+    """All batches with all active connections of their suppliers, who have eight at most."""
+    return filters.active_connections(B.supplied_batches(spark, sf), B.connections(spark, sf)).select("batch_id", "connection_id", "cmo_id")
 
 
 @query("active_connection_counts", "FLT-8 JOIN-5", """SELECT b.batch_id, b.cmo_id, coalesce(c.n, 0) AS connections, c.least AS first_connection
@@ -375,14 +372,6 @@ def grants_after_revoke(spark, sf):
     return access.revoke(granted, entries.where(F.col("table_name") == "cmo_other_silver"))
 
 
-@query("user_grant_and_views", "ACL-5 ACL-1", """SELECT 'grant' AS kind, concat('role-', c_custkey, '|', t, '|', p) AS item, CAST(1 AS BIGINT) AS n FROM customer,
-  (VALUES ('', 'DESCRIBE'), ('batch_records', 'SELECT'), ('batch_records', 'DESCRIBE')) v(t, p) WHERE c_custkey <= 20
-UNION ALL SELECT 'rows', 'cmo-3', count(*) FROM v_batch_records WHERE cmo_id = 'cmo-3'""", ("v_batch_records",))
-def user_grant_and_views(spark, sf):
-    """The first twenty customers, as the SQL has it; ``all_user_grants_and_views`` grants all."""
-    return _user_grants(spark, sf, B.table(spark, sf, "customer").where("c_custkey <= 20"))
-
-
 def _user_grants(spark, sf, customers):
     """Users are granted a tenant's table; the view they share shows the tenant's rows."""
     tables = {"batch_records": (B.batch_records(spark, sf), ["price"])}
@@ -394,10 +383,10 @@ def _user_grants(spark, sf, customers):
     return items.unionByName(seen.select(F.lit("rows").alias("kind"), F.lit("cmo-3").alias("item"), "n"))
 
 
-@query("all_user_grants_and_views", "ACL-5 ACL-1", """SELECT 'grant' AS kind, concat('role-', c_custkey, '|', t, '|', p) AS item, CAST(1 AS BIGINT) AS n
+@query("user_grant_and_views", "ACL-5 ACL-1", """SELECT 'grant' AS kind, concat('role-', c_custkey, '|', t, '|', p) AS item, CAST(1 AS BIGINT) AS n
 FROM (SELECT DISTINCT c_custkey FROM customer), (VALUES ('', 'DESCRIBE'), ('batch_records', 'SELECT'), ('batch_records', 'DESCRIBE')) v(t, p)
 UNION ALL SELECT 'rows', 'cmo-3', count(*) FROM v_batch_records WHERE cmo_id = 'cmo-3'""", ("v_batch_records",))
-def all_user_grants_and_views(spark, sf):
+def user_grant_and_views(spark, sf):
     return _user_grants(spark, sf, B.table(spark, sf, "customer"))
 
 

@@ -19,8 +19,8 @@ def test_connection_counts_see_every_contract(spark):
 def test_every_delivery_and_user_is_taken(spark, tmp_path):
     spark.range(1, 61).selectExpr("id as l_orderkey", "id % 7 as l_suppkey", "id * 2 as l_partkey", "1 as l_linenumber").union(
         spark.range(1, 61).selectExpr("id", "id % 7", "id * 3", "2")).write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = streams.all_listed_files(spark, str(tmp_path)).collect()
-    assert sorted((r.cmo_id, r.batch_id, r.accepted) for r in got) == sorted((f"cmo-{i % 7}", str(i), True) for i in range(1, 61))
+    got = streams.listed_files(spark, str(tmp_path)).collect()
+    assert sorted((r.cmo_id, r.batch_id, r.accepted) for r in got) == sorted((f"cmo-{i % 7}", str(i), True) for i in range(1, 61) for _ in range(2))
     users = spark.range(100).selectExpr("concat('role-', id) as principal")
     alpha = spark.createDataFrame([("cmo-3", 1.0)], "cmo_id string, price double")
     got, _ = access.grant_users("cmo-3", users, {"lines": (alpha, ["price"])}, spark.createDataFrame([], access.GRANTS_DDL))
