@@ -98,3 +98,57 @@ def test_heading_in_an_articles_own_header():
 def test_an_unclosed_named_inline_element_ends_with_its_block():
     page = f"<article><p>{STORY[0]} <span class='ad'>Buy</p>{''.join(f'<p>{s}</p>' for s in STORY[1:])}</article>"
     assert html_extract.main_text(page).split("\n") == STORY
+
+
+SHORT = ["A short report", "The council met on Monday and agreed on the plan for the bridge.", "Work starts in May.", "The cost is not known yet."]
+LONG_COMMENT = "I have been reading this paper for years and I must say that the plan is not what we were promised at all. " * 5
+
+
+def page_of(blocks):
+    return "".join(f"<h1>{b}</h1>" if i == 0 else f"<p>{b}</p>" for i, b in enumerate(blocks))
+
+
+def comments(tag, names, n=6):
+    return f"<{tag} {names}>" + "".join(f"<li><div><p>{LONG_COMMENT}{k}</p></div></li>" for k in range(n)) + f"</{tag}>"
+
+
+#: Pages marked by hand, none by an article element: the blocks of the article stand first, all else isn't part of it.
+MARKED = {
+    "comment list after main": (SHORT, "<main>{}</main>" + comments("ol", "class='comment-list'")),
+    "comments in the article's holder": (SHORT, "<div class='post'>{}" + comments("section", "id=comments") + "</div>"),
+    "thread of bare articles": (SHORT, "<div class='content'>{}</div><div class='comments'>" + f"<article><p>{LONG_COMMENT}</p></article>" * 9 + "</div>"),
+    "discussion before the article": (SHORT, comments("div", "class='disqus-thread'") + "<div>{}</div>"),
+    "replies without a list": (SHORT, "<div id=story>{}</div>" + f"<div class='reply'><p>{LONG_COMMENT}</p></div>" * 12),
+    "cookie notice": (SHORT, "<div class='cookie-consent'><p>We use cookies to make this page work and to learn how it is used by all of you "
+                      "who read it every day.</p><p>" + LONG_COMMENT + "</p></div><div>{}</div>"),
+    "newsletter and advert": (SHORT, "<div>{}</div><div class='newsletter-signup'><p>" + LONG_COMMENT + "</p></div><div id='ad-17'><p>" + LONG_COMMENT * 3 + "</p></div>"),
+    "dialog by role": (SHORT, "<div role=dialog><p>" + LONG_COMMENT * 2 + "</p></div><div>{}</div>"),
+    "popup around main": (SHORT, "<div class='overlay'><main>{}</main></div>"),
+    "sponsored article": (SHORT, "<article class='post sponsored'>{}</article>"),
+    "layout names around all": (STORY, "<div class='sidebar-wrap'><div class='widget'>{}</div></div><nav><a>Home</a></nav>"),
+    "one name inside another": (STORY, "<div class='sidebar'><div class='inner'>{}</div><div class='share'><a>Share</a></div></div>"),
+    "story in a form": (STORY, "<form><div class='content'>{}</div><input name=q></form>"),
+}
+
+
+@pytest.mark.parametrize("kind", MARKED)
+def test_pages_marked_by_hand(kind):
+    blocks, around = MARKED[kind]
+    inside = page_of(blocks) if blocks is SHORT else "".join(f"<p>{b}</p>" for b in blocks)
+    assert html_extract.main_text(f"<html><body>{around.replace('{}', inside)}</body></html>").split("\n") == blocks
+
+
+def test_formulas_stay_in_their_line():
+    page = f"<article><p>{STORY[0]} <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>a+1</annotation></math> holds.</p><p>{STORY[1]}</p></article>"
+    assert html_extract.main_text(page).split("\n") == [f"{STORY[0]} a+1 holds.", STORY[1]]
+
+
+@pytest.mark.parametrize("markup", [
+    "<div class='sidebar'>x" * 100_000, "<div class='ad'>" * 100_000, "<div>x" * 100_000 + "</b></i></section>" * 100_000,
+    "<span class='ad'>" * 100_000 + "<div></div>x" * 100_000, "<ul>" * 50_000 + "<li>x" * 100_000, "<p class='widget'>x" * 100_000])
+def test_malformed_markup_takes_time_in_proportion(markup):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(f"<body><p>{STORY[0]}</p>{markup}")
+    assert time.process_time() - began < 15  # some seconds on a slow machine; by the square it would be hours
