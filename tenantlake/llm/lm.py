@@ -228,7 +228,8 @@ def score_documents(docs: DataFrame, modulus: int = 10, depth: int = DEPTH, word
     fixed number of rows, and a row's sums over the slices are added.
     """
     spark: SparkSession = docs.sparkSession
-    docs = doc_texts(docs).withColumn("row", F.monotonically_increasing_id())
+    # numbered once: an input behind a shuffle may deal its rows out differently each time it is computed
+    docs = stage(doc_texts(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
     held_out = crc_bucket(F.col("doc_id"), modulus) == 0
     counts = stage(_counts(docs, held_out, depth), "counts")
     word_counts = counts.where("kind = 0")
