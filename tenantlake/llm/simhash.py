@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenantlake.llm.common import as_bytes, chunks, doc_texts
+from tenantlake.llm.common import as_bytes, chunks, doc_texts, unused_name
 from tenantlake.llm.components import components
 from tenantlake.session import stage
 
@@ -215,8 +215,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest doc_id. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    return kept
+    """``docs`` with one row of each group: the one with the smallest doc_id, without an id only if none has one.
+
+    Of rows repeated with that id one stays. Rows are told apart by a number of their own, given once.
+    """
+    row = unused_name(docs, "row_number")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = stage(found.join(ids, "row").select("row", "component_id", F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place")), "groups")
+    stays = found.groupBy("component_id").agg(F.min("place").alias("stays"))
+    gone = found.join(stays, "component_id").where(F.col("row") != F.col("stays.row")).select(F.col("row").alias("gone"))
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").drop(row)
