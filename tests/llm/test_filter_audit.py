@@ -79,11 +79,21 @@ def test_empty_table(spark):
 def test_matrix_is_one_dictionary_in_shards(spark):
     """Shards of a few hundred bytes: columns are numbered over all of them without gaps, and say each document's words."""
     rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(i)), "en") for i in range(60)]
-    matrix, known = filter_audit.document_terms(dirty(spark, rows).repartition(3), 300)
-    word = {r.id: r.word for r in known.collect()}
+    local, known = filter_audit.document_terms(dirty(spark, rows).repartition(3), 300)
+    word = {r.id: r.word for r in known.where("word is not null").collect()}
     assert sorted(word) == list(range(len(word))) and sorted(word.values()) == sorted({w for _, t, _ in rows for w in t.split()})
-    shards = matrix.collect()
+    shards = filter_audit.matrix(local, known).collect()
     assert len(shards) > 10 and len({s.shard for s in shards}) == len(shards)
-    bags = {d.doc_id: {word[c]: n for c, n in zip(s.columns[a:b], s.counts[a:b])}
-            for s in shards for d, a, b in zip(s.docs, s.starts, s.starts[1:])}
-    assert bags == {i: dict(Counter(t.split())) for i, t, _ in rows}
+    bags = {}
+    for s in shards:
+        for d, a, b in zip(s.docs, s.starts, s.starts[1:]):
+            bags.setdefault(d.doc_id, Counter()).update({word[c]: n for c, n in zip(s.columns[a:b], s.counts[a:b])})
+    assert bags == {i: Counter(t.split()) for i, t, _ in rows}
+    assert {r.doc_id: (r.n_words, r.n_distinct) for r in filter_audit.row_totals(local, known).collect()} == {
+        i: (sum(b.values()), len(b)) for i, b in bags.items()}
+
+
+def test_texts_longer_than_a_shard_are_cut_and_counted_once(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(40 * i)) + " " * i, "en") for i in range(12)] + [(50, "y" * 5000, "en")]
+    got = {r.doc_id: (r.n_words, r.n_distinct) for r in filter_audit.failures(dirty(spark, rows), 200).collect()}
+    assert got == {i: (len(t.split()), len(set(t.split()))) for i, t, _ in rows}
