@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenantlake.session import stage
+from tenantlake.sources.folders import NumberedFolders
 
 BUCKETS = 64
 FOLD_EVERY = 8
@@ -30,7 +31,7 @@ EXPIRY = "90 days"
 FIRST, LATE, REPEATED = "first", "late", "repeated"
 
 
-class SeenKeys:
+class SeenKeys(NumberedFolders):
     """``keys`` name the columns that identify a delivery, ``ts`` its event time; null keys equal each other.
 
     A key is remembered for ``expiry`` after the event time of its first delivery, on the clock of the newest event.
@@ -39,32 +40,10 @@ class SeenKeys:
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], ts: str, within: str, expiry: str = EXPIRY,
                  buckets: int = BUCKETS, fold_every: int = FOLD_EVERY):
-        self.spark, self.root, self.keys, self.ts = spark, root.rstrip("/"), list(keys), ts
+        super().__init__(spark, root)
+        self.keys, self.ts = list(keys), ts
         self.within, self.expiry, self.buckets, self.fold_every = within, expiry, buckets, fold_every
 
-    # --- folders ---
-
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _folders(self, kind: str) -> list[int]:
-        """Numbers of the committed folders of a kind, rising; there are some ``fold_every`` of them, never all."""
-        at, fs = self._fs(self.root)
-        if not fs.exists(at):
-            return []
-        found = [re.fullmatch(rf"{kind}-(\d+)", s.getPath().getName()) for s in fs.listStatus(at)]
-        numbers = sorted(int(m[1]) for m in found if m)
-        return [n for n in numbers if fs.exists(self._fs(f"{self.root}/{kind}-{n}/_SUCCESS")[0])]
-
-    def _drop(self, kind: str, numbers: Sequence[int]) -> None:
-        for n in numbers:
-            at, fs = self._fs(f"{self.root}/{kind}-{n}")
-            fs.delete(at, True)
-
-    def _read(self, kind: str, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{kind}-{n}")
-
     def _write(self, rows: DataFrame, folder: str) -> None:
         # the whole folder is replaced, also buckets that a replay doesn't fill
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.root}/{folder}")
