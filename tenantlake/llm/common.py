@@ -65,11 +65,11 @@ def as_text(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 
 
-def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``texts`` of about ``limit`` bytes each."""
+def chunks(texts: list, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``texts`` of about ``limit`` bytes each, and of ``rows`` texts at most."""
     start = size = 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > limit:
+        if size and size + len(x) > limit or i - start == rows:
             yield start, i
             start, size = i, 0
         size += len(x)

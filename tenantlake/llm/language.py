@@ -24,6 +24,8 @@ UNKNOWN = "und"
 HELD = 1 << 20
 #: Characters of text counted or ranked at once: each gives several n-grams, held and sorted as 64-bit integers.
 PIECE = 1 << 18
+#: Texts counted or ranked at once: their numbers share 64 bits with an n-gram's 48.
+ROWS = 1 << 16
 _BLANK = 1
 _fold: np.ndarray | None = None
 
@@ -109,7 +111,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
 
         for batch in batches:
             texts, langs = as_text(batch.column(0)), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts, PIECE):
+            for lo, hi in chunks(texts, PIECE, ROWS):
                 owner, key = _grams(texts[lo:hi])
                 number = np.array([names.setdefault(x, len(names)) for x in langs[lo:hi]], np.int64)
                 held.append(_counted(number[owner], key))
@@ -173,7 +175,7 @@ def predicted(text: Column, model: Profiles) -> Column:
         for batch in batches:
             texts = as_text(batch)
             langs, scores = [], [np.zeros(0)]
-            for lo, hi in chunks(texts, PIECE):
+            for lo, hi in chunks(texts, PIECE, ROWS):
                 a, b = model.predict(texts[lo:hi])
                 langs += a
                 scores.append(b)
