@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -242,19 +243,29 @@ def _share(runs: np.ndarray, rare: np.ndarray) -> np.ndarray:
 
 def _slices(benchmark: DataFrame, rows: int) -> Iterator[tuple[list, list]]:
     """Items in parts of about ``rows``; the driver holds one part at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
     n = max(1, -(-items.count() // rows))
+    place = F.xxhash64(F.coalesce("item_id", F.xxhash64("text")))  # items without an id are spread by their texts
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).toArrow()
+        part = items.where(F.pmod(place, F.lit(n)) == i).toArrow()
         yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def _numbered(ids: list[int | None]) -> tuple[list[int], set[int]]:
+    """The ids, those that are null replaced by numbers that no item has; and these numbers."""
+    taken = set(ids)
+    free = (i for i in count() if i not in taken)
+    numbers = [next(free) if i is None else i for i in ids]
+    return numbers, {n for n, i in zip(numbers, ids) if i is None}
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, item_rows: int = ITEM_ROWS) -> DataFrame:
     """doc_id, item_id, first_word, distance, similarity: the best window of each document that holds an item.
 
     An item is held if a passage of the document, longer or shorter than the item by as many words as edits are allowed,
-    is within (1 - similarity) of the item's words in word edits. Items without words and null items are never held, nor does
-    a null or empty text hold any; items of equal texts are each reported. Repeated documents are each searched.
+    is within (1 - similarity) of the item's words in word edits. Items without words and null texts are never held, nor does
+    a null or empty text hold any; items of equal texts are each reported, items without an id with a null one. Repeated
+    documents are each searched.
     """
     spark = docs.sparkSession
     out = None
@@ -262,11 +273,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, similarity)
+            ids, unnamed = _numbered(shared.value[0])
+            items = Items(ids, shared.value[1], similarity)
             for batch in batches:
                 texts, doc_ids = as_text(batch.column(1)), batch.column(0).to_pylist()
                 for lo, hi in chunks(texts):
-                    rows = [(doc_ids[lo + t], i, s, d, 1 - d / n) for t, i, s, d, n in items.find(texts[lo:hi])]
+                    rows = [(doc_ids[lo + t], None if i in unnamed else i, s, d, 1 - d / n) for t, i, s, d, n in items.find(texts[lo:hi])]
                     if rows:
                         columns = list(zip(*rows))
                         yield pa.RecordBatch.from_arrays(
@@ -281,7 +293,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def _holds(shared: Broadcast, similarity: float):
     @F.arrow_udf("boolean")
     def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        items = Items(*shared.value, similarity)
+        items = Items(_numbered(shared.value[0])[0], shared.value[1], similarity)
         for batch in batches:
             texts = as_text(batch)
             held = np.zeros(len(texts), bool)

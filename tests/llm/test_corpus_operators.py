@@ -393,9 +393,11 @@ def test_leaks_of_odd_tables(spark):
                                   "item_id long, text string")
     docs = dirty(spark)
     got = decontaminate.leaks(docs, items).collect()
-    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(i, k, 0) for i in (1, 5, 6) for k in (1, 5)]
+    x = [r[0] for r in DIRTY if "x" in re.findall("[a-z0-9]+", (r[1] or "").lower())]  # hold the item without an id
+    assert sorted(((r.doc_id, r.item_id, r.distance) for r in got), key=str) == sorted(
+        [(i, k, 0) for i in (1, 5, 6) for k in (1, 5)] + [(i, None, 0) for i in x], key=str)
     assert decontaminate.clean(docs, items).columns == docs.columns
-    assert decontaminate.clean(docs, items).count() == len(DIRTY) - 3
+    assert decontaminate.clean(docs, items).count() == len(DIRTY) - 3 - len(x)
     assert decontaminate.clean(docs, items.where("false")).count() == len(DIRTY)
     assert decontaminate.leaks(empty(spark), items).count() == 0
 

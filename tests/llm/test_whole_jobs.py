@@ -8,8 +8,8 @@ import re
 
 import pytest
 
-from tenantlake.llm import decontaminate, html_extract
-from tenantlake.llm.common import table
+from tenantlake.llm import decontaminate, html_extract, language
+from tenantlake.llm.common import chunks, table
 from tests.llm.data import SF
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables are not here")
@@ -152,3 +152,29 @@ def test_malformed_markup_takes_time_in_proportion(markup):
     began = time.process_time()
     html_extract.main_text(f"<body><p>{STORY[0]}</p>{markup}")
     assert time.process_time() - began < 15  # some seconds on a slow machine; by the square it would be hours
+
+
+def test_items_without_an_id_are_searched(spark):
+    words = ["alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten"]
+    items = spark.createDataFrame([(None, words[0]), (None, words[1]), (0, "red orange yellow green blue indigo violet"), (None, None)],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {words[0]} it is"), (2, f"and {words[1]} and {words[0]}"), (3, "nothing of it"),
+                                  (4, "red orange yellow green blue indigo violet")], "doc_id long, text string")
+    for rows in (1, 100):  # items in several parts, and in one
+        got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, item_rows=rows).collect()), key=str)
+        assert got == [(1, None), (2, None), (2, None), (4, 0)]
+        assert [r.doc_id for r in decontaminate.clean(docs, items, item_rows=rows).collect()] == [3]
+
+
+def test_texts_counted_at_once_have_numbers_of_their_own(spark):
+    texts = ["aa", "bb"] * 40_000
+    assert max(hi - lo for lo, hi in chunks(texts, language.PIECE, language.ROWS)) == language.ROWS
+    assert list(chunks([""] * 5, 10, 2)) == [(0, 2), (2, 4), (4, 5)] and list(chunks([], 10, 2)) == []
+    model = language.fit(spark.createDataFrame([("aa aa", "a"), ("bb bb", "b")], "text string, lang string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")  # one batch of all texts
+    try:
+        rows = spark.range(0, 80_000, 1, 1).selectExpr("if(id % 2 = 0, 'aa', 'bb') as text", "if(id % 2 = 0, 'a', 'b') as lang")
+        wrong = rows.select("lang", language.predicted(rows["text"], model).alias("p")).where("p.lang_pred <> lang")
+        assert wrong.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
