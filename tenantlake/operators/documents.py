@@ -1,18 +1,17 @@
 """OCR and vision output to tables.
 
 A document is one row with an array of blocks. Per-document sums and line lists use array functions
-in place; references between blocks (key to value, cell to words) are joins on (document, block id),
-so a very large document spreads over the cluster instead of being walked in one row.
+in place; references between blocks (key to value, cell to words) are windows over (document, block id),
+after one exchange that brings a document's blocks together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenantlake.functions import paths as P
 from tenantlake.functions import scalars as S
-from tenantlake.session import spread, stage
 
 # Confidence needed to skip manual review, and header fields of a certificate.
 CONFIDENCE_THRESHOLD = 0.85
@@ -53,26 +52,59 @@ def confidence(docs: DataFrame) -> DataFrame:
 
 
 def stage_blocks(docs: DataFrame) -> DataFrame:
-    """The blocks that refer to each other, one per row, written once to the shared folder.
+    """The blocks that refer to each other, one per row, a document's blocks in one partition.
 
-    Forms and tables read it several times by block type; staging it means the documents themselves,
-    often JSON, are parsed once.
+    This is the one exchange of blocks: whatever is grouped by document and something else afterwards is already
+    in place. A document was one row to begin with, so what a task gets of one is bounded by a row. The documents
+    are read once by each result built on the blocks; ``resolved`` gives fields and cells in one.
     """
-    long = spread(docs.select(DOC, "blocks")).select(DOC, F.posexplode("blocks").alias("pos", "b"))
-    linked = long.where(F.col("b.BlockType").isin(*LINKED_TYPES))
-    return stage(linked.select(DOC, "pos", *[F.col(f"b.{c}").alias(c) for c in (
-        "Id", "BlockType", "Text", "RowIndex", "ColumnIndex", "EntityTypes", "Relationships")]), "blocks")
+    long = docs.select(DOC, F.posexplode("blocks").alias("pos", "b")).where(F.col("b.BlockType").isin(*LINKED_TYPES))
+    return long.select(DOC, "pos", *[F.col(f"b.{c}").alias(c) for c in (
+        "Id", "BlockType", "Text", "RowIndex", "ColumnIndex", "EntityTypes", "Relationships")]).repartition(DOC)
 
 
-def _links(blocks: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, pos, parent_id, rel_no, child_no, child_id) for one relationship type."""
-    rel = blocks.select(DOC, "pos", F.col("Id").alias("parent_id"), F.posexplode("Relationships").alias("rel_no", "rel"))
-    return rel.where(F.col("rel.Type") == kind).select(
-        DOC, "pos", "parent_id", "rel_no", F.posexplode("rel.Ids").alias("child_no", "child_id"))
+_LINK = "struct<rel_no:int,child_no:int,id:string>"
 
 
-def _of(blocks: DataFrame, kind: str) -> DataFrame:
-    return blocks.where(F.col("BlockType") == kind)
+def _links(kind: str) -> Column:
+    """A block's links of one relationship type as an array of (rel_no, child_no, id)."""
+    numbered = F.transform("Relationships", lambda rel, i: F.when(rel["Type"] == kind, F.transform(
+        rel["Ids"], lambda child, j: F.struct(i.alias("rel_no"), j.alias("child_no"), child.alias("id")))))
+    return F.coalesce(F.flatten(F.filter(numbered, lambda x: x.isNotNull())), F.array().cast(f"array<{_LINK}>"))
+
+
+def _in_document(key: str) -> Window:
+    """Rows of one document with equal keys; needs no exchange, since a document's rows are together."""
+    return Window.partitionBy(DOC, key)
+
+
+def _with_texts(blocks: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The blocks of ``kinds`` with the text of their words: (doc_id, pos, block_id, kind, row, col, is_key, refs, text).
+
+    ``text`` is null for a block without words. ``refs`` are the links to follow next: a table's cells, a key's
+    last value. Each word meets the blocks that name it by a window over (document, word id); of words with one
+    id the last counts.
+    """
+    kind = F.col("BlockType")
+    ref = F.when(kind == "TABLE", _links("CHILD")).when(
+        F.array_contains("EntityTypes", "KEY"), F.slice(F.reverse(_links("VALUE")), 1, 1))
+    none = F.lit(None).cast(_LINK)
+    words = F.when(kind.isin("TABLE"), F.array(none)).otherwise(F.concat(F.array(none), _links("CHILD")))
+    linked = blocks.where(kind.isin(*kinds, "WORD")).select(
+        DOC, "pos", F.col("Id").alias("block_id"), kind.alias("kind"), F.coalesce("RowIndex", F.lit(0)).alias("row"),
+        F.coalesce("ColumnIndex", F.lit(0)).alias("col"), F.coalesce(F.array_contains("EntityTypes", "KEY"), F.lit(False)).alias("is_key"),
+        F.coalesce(ref, F.array().cast(f"array<{_LINK}>")).alias("refs"), "Text",
+        F.explode(F.when(kind == "WORD", F.array(none)).otherwise(words)).alias("link"))
+    is_word = F.col("kind") == "WORD"
+    met = linked.withColumn("_key", F.when(is_word, F.col("block_id")).otherwise(F.col("link.id"))).withColumn(
+        "_word", F.max(F.when(is_word & F.col("_key").isNotNull(), F.struct("pos", F.coalesce("Text", F.lit("")).alias("word")))).over(
+            _in_document("_key")))
+    word = F.when(F.col("_key").isNotNull() & F.col("_word").isNotNull(), F.struct("link.rel_no", "link.child_no", "_word.word"))
+    # a block's words were one array inside one block to begin with; nulls are not collected
+    ordered = F.array_sort(F.collect_list(word))
+    text = F.when(F.size(ordered) > 0, F.array_join(F.transform(ordered, lambda w: w["word"]), " "))
+    return met.where(~is_word).groupBy(DOC, "pos", "block_id", "kind").agg(
+        *[F.first(c).alias(c) for c in ("row", "col", "is_key", "refs")], text.alias("text"))
 
 
 def block_text(blocks: DataFrame, *kinds: str) -> DataFrame:
@@ -80,39 +112,58 @@ def block_text(blocks: DataFrame, *kinds: str) -> DataFrame:
 
     Blocks without words are absent; callers coalesce to ''.
     """
-    parents = blocks.where(F.col("BlockType").isin(*(kinds or ("CELL", "KEY_VALUE_SET"))))
-    words = _of(blocks, "WORD").select(DOC, F.col("Id").alias("child_id"), F.coalesce("Text", F.lit("")).alias("word"))
-    found = _links(parents, "CHILD").join(words, [DOC, "child_id"])
-    # a block's words were one array inside one block to begin with
-    ordered = F.array_sort(F.collect_list(F.struct("rel_no", "child_no", "word")))
-    return found.groupBy(DOC, F.col("parent_id").alias("block_id")).agg(
-        F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"))
+    return _with_texts(blocks, kinds or ("CELL", "KEY_VALUE_SET")).where(F.col("text").isNotNull()).select(
+        DOC, "block_id", "text")
+
+
+def resolved(blocks: DataFrame, *kinds: str) -> DataFrame:
+    """Form fields and table cells: (doc_id, kind, pos, key, row, col, text).
+
+    A ``KEY_VALUE_SET`` row is a field, with its key and value; a ``TABLE`` row a cell of the table at block ``pos``.
+    Fields without a key text are dropped; of equal keys, and of equal cells of a table, the last wins. Links to
+    blocks that aren't there give '' (a value) or nothing (a cell); of blocks with one id the last counts.
+    """
+    kinds = kinds or ("KEY_VALUE_SET", "CELL", "TABLE")
+    own = F.lit(None).cast(_LINK)
+    ends = _with_texts(blocks, kinds).select("*", F.explode(F.concat(F.array(own), F.col("refs"))).alias("ref"))
+    is_self = F.col("ref").isNull()
+    can = F.col("_key").isNotNull() & is_self & F.col("kind").isin("CELL", "KEY_VALUE_SET")
+    met = ends.withColumn("_key", F.when(is_self, F.col("block_id")).otherwise(F.col("ref.id"))).withColumn(
+        "_to", F.max(F.when(can, F.struct("pos", F.col("kind").alias("what"), F.col("row").alias("r"), F.col("col").alias("c"), F.coalesce("text", F.lit("")).alias("t")))).over(
+            _in_document("_key")))
+    there = F.col("_key").isNotNull() & F.col("_to").isNotNull() & (
+        F.col("_to.what") == F.when(F.col("kind") == "TABLE", "CELL").otherwise(F.col("kind")))
+    is_field = F.col("is_key") & (F.col("kind") == "KEY_VALUE_SET") & (F.coalesce("text", F.lit("")) != "")
+    # a key without a value has no link to follow, so its own row stands for it
+    value = F.when(is_self, F.lit("")).otherwise(F.when(there, F.col("_to.t")).otherwise(""))
+    is_cell = ~is_self & there & (F.col("kind") == "TABLE")
+    out = met.where(is_cell | is_field & (~is_self | (F.size("refs") == 0))).select(
+        DOC, "kind", "pos", F.when(F.col("kind") == "TABLE", F.lit(None)).otherwise(F.col("text")).alias("key"),
+        F.when(F.col("kind") == "TABLE", F.col("_to.r")).alias("row"), F.when(F.col("kind") == "TABLE", F.col("_to.c")).alias("col"),
+        F.when(F.col("kind") == "TABLE", F.col("_to.t")).otherwise(value).alias("text"),
+        F.struct("pos", "ref.rel_no", "ref.child_no").alias("place"))
+    # a field is its document's by its key, a cell its table's by row and column
+    of = F.when(F.col("kind") == "TABLE", F.col("pos")).otherwise(-1)
+    return out.withColumn("of", of).groupBy(DOC, "kind", "of", "key", "row", "col").agg(
+        F.max_by("text", "place").alias("text")).select(DOC, "kind", F.col("of").alias("pos"), "key", "row", "col", "text")
+
+
+def _fields(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") == "KEY_VALUE_SET").select(DOC, "key", F.col("text").alias("value"))
+
+
+def _cells(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") == "TABLE").select(DOC, F.col("pos").alias("table_no"), "row", "col", "text")
 
 
 def forms(blocks: DataFrame) -> DataFrame:
     """(doc_id, key, value) of the form fields; empty keys dropped, the last of equal keys wins."""
-    texts = block_text(blocks, "KEY_VALUE_SET")
-    keys = _of(blocks, "KEY_VALUE_SET").where(F.array_contains("EntityTypes", "KEY"))
-    last_value = _links(keys, "VALUE").groupBy(DOC, F.col("parent_id").alias("block_id")).agg(
-        F.max_by("child_id", F.struct("rel_no", "child_no")).alias("value_id"))
-    values = texts.select(DOC, F.col("block_id").alias("value_id"), F.col("text").alias("value"))
-    named = (keys.select(DOC, "pos", F.col("Id").alias("block_id")).join(texts, [DOC, "block_id"])
-             .where(F.col("text") != ""))
-    joined = named.join(last_value, [DOC, "block_id"], "left").join(values, [DOC, "value_id"], "left")
-    return joined.groupBy(DOC, F.col("text").alias("key")).agg(
-        F.max_by(F.coalesce("value", F.lit("")), "pos").alias("value"))
+    return _fields(resolved(blocks, "KEY_VALUE_SET"))
 
 
 def cells(blocks: DataFrame) -> DataFrame:
     """(doc_id, table_no, row, col, text): table_no is the block position; the last of equal cells wins."""
-    cell_blocks = _of(blocks, "CELL").select(
-        DOC, F.col("Id").alias("child_id"), F.coalesce("RowIndex", F.lit(0)).alias("row"),
-        F.coalesce("ColumnIndex", F.lit(0)).alias("col"))
-    texts = block_text(blocks, "CELL").select(DOC, F.col("block_id").alias("child_id"), "text")
-    placed = (_links(_of(blocks, "TABLE"), "CHILD").join(cell_blocks, [DOC, "child_id"])
-              .join(texts, [DOC, "child_id"], "left"))
-    return placed.groupBy(DOC, F.col("pos").alias("table_no"), "row", "col").agg(
-        F.max_by(F.coalesce("text", F.lit("")), F.struct("rel_no", "child_no")).alias("text"))
+    return _cells(resolved(blocks, "CELL", "TABLE"))
 
 
 def table_rows(blocks: DataFrame) -> DataFrame:
@@ -120,13 +171,19 @@ def table_rows(blocks: DataFrame) -> DataFrame:
 
     ``by_col`` keeps the texts under their column index. One table row is collected at a time.
     """
+    return _rows_of(cells(blocks))
+
+
+def _rows_of(found: DataFrame) -> DataFrame:
     by_col = F.array_sort(F.collect_list(F.struct("col", "text")))
-    return cells(blocks).groupBy(DOC, "table_no", "row").agg(
+    return found.groupBy(DOC, "table_no", "row").agg(
         F.transform(by_col, lambda c: c["text"]).alias("cells"), F.map_from_entries(by_col).alias("by_col"))
 
 
-def _records(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    body = rows.join(heads, [DOC, "table_no"]).where(F.col("row") > F.col("first_row"))
+def _records(rows: DataFrame) -> DataFrame:
+    of_table = Window.partitionBy(DOC, "table_no")
+    body = rows.withColumns({"first_row": F.min("row").over(of_table), "header": F.min_by("cells", "row").over(of_table)}).where(
+        F.col("row") > F.col("first_row"))
     names = F.array_distinct("header")
     last_at = F.transform(names, lambda h: F.size("header") - F.array_position(F.reverse("header"), h) + 1)
     values = F.transform(last_at, lambda i: F.coalesce(F.try_element_at("by_col", i.cast("int")), F.lit("")))
@@ -137,12 +194,9 @@ def table_records(blocks: DataFrame) -> DataFrame:
     """(doc_id, table_no, row, record): each later row as a map under the first row's texts.
 
     Header names are taken by place; cells are read at column 1, 2, ... whatever the header's own
-    columns were; of equal header names the last wins. A table's header is joined to its rows.
+    columns were; of equal header names the last wins.
     """
-    rows = table_rows(blocks)
-    heads = rows.groupBy(DOC, "table_no").agg(F.min("row").alias("first_row"),
-                                              F.min_by("cells", "row").alias("header"))
-    return _records(rows, heads)
+    return _records(table_rows(blocks))
 
 
 def matrices(blocks: DataFrame) -> DataFrame:
@@ -207,19 +261,26 @@ def process_documents(docs: DataFrame, bucket: str, at: Column,
                       threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
     """One row per document: text lines, tables, forms, confidence and destination.
 
-    ``docs``: (doc_id, cmo_id, data_domain, file_key, blocks). Forms and tables are put back with one
-    join each; a document's output is no larger than the row it came from.
+    ``docs``: (doc_id, cmo_id, data_domain, file_key, blocks). Forms and tables come of one pass over the
+    blocks and are put back with one join; a document's output is no larger than the row it came from.
     """
-    blocks = stage_blocks(docs)
-    kv = forms(blocks).groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("forms"))
-    tabs = matrices(blocks).groupBy(DOC).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("table_no", "matrix"))), lambda t: t["matrix"]).alias("tables"))
+    found = resolved(stage_blocks(docs))
+    # a document's rows are in one place: its tables' cells, then its fields and tables, are grouped where they are
+    by_col = F.array_sort(F.collect_list(F.struct("col", "text")))
+    is_field = F.col("kind") == "KEY_VALUE_SET"
+    lined = found.groupBy(DOC, "kind", "pos", "key", "row").agg(
+        F.transform(by_col, lambda c: c["text"]).alias("cells"))
+    tables = lined.groupBy(DOC, "kind", "pos").agg(
+        F.collect_list(F.when(is_field, F.struct("key", F.get("cells", F.lit(0)).alias("value")))).alias("fields"),
+        F.transform(F.array_sort(F.collect_list(F.when(~is_field, F.struct("row", "cells")))), lambda r: r["cells"]).alias("matrix"))
+    whole = tables.groupBy(DOC).agg(
+        F.map_from_entries(F.flatten(F.collect_list("fields"))).alias("forms"),
+        F.transform(F.array_sort(F.collect_list(F.when(~is_field, F.struct("pos", "matrix")))), lambda t: t["matrix"]).alias("tables"))
     base = docs.select(DOC, "cmo_id", "data_domain", "file_key", line_texts(F.col("blocks")).alias("lines"),
                        block_confidence(F.col("blocks")).alias("confidence"),
                        F.coalesce(F.size("blocks"), F.lit(0)).alias("block_count"))
     ext = S.file_extension(F.col("file_key"))
-    whole = base.join(kv, DOC, "left").join(tabs, DOC, "left")
-    return route(whole, bucket, at, threshold).withColumns({
+    return route(base.join(whole, DOC, "left"), bucket, at, threshold).withColumns({
         "document_type": F.when(ext == ".pdf", "pdf").otherwise("image"),
         "forms": F.coalesce("forms", F.create_map().cast("map<string,string>")),
         "tables": F.coalesce("tables", F.array().cast("array<array<array<string>>>")),

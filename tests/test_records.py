@@ -285,3 +285,21 @@ def test_tenant_scope_denies_unlinked_users(spark):
     assert filters.tenant_scope(df, {"cmo_id": "cmo-a"}, "cmo-b").first()[0] == "cmo-a"
     with pytest.raises(filters.AccessDenied):
         filters.tenant_scope(df, {"cmo_id": ""})
+
+
+def test_blocks_are_exchanged_once(spark, tmp_path):
+    """Fields and cells of a document are found where its blocks are: one exchange, and no join, whatever is asked."""
+    blocks = [_block("KEY_VALUE_SET", "k", entity="KEY", rel=[("CHILD", ["w"]), ("VALUE", ["v", "gone"])]),
+              _block("KEY_VALUE_SET", "v", entity="VALUE", rel=[("CHILD", ["w"])]), _block("WORD", "w", "Lot"), _block("WORD", "w", "Last"),
+              _block("KEY_VALUE_SET", "k2", entity="KEY", rel=[("VALUE", ["v"]), ("CHILD", ["w"])]), _block("CELL", None, row=1, col=1),
+              _block("TABLE", "t", rel=[("CHILD", ["c", None, "c2", "w"])]), _block("CELL", "c", row=1, col=1, rel=[("CHILD", ["w", None])]),
+              _block("CELL", "c2", row=1, col=1)]
+    _docs(spark, ("d", blocks), ("d2", blocks[:4]), (None, blocks), ("none", None)).write.parquet(f"{tmp_path}/docs")
+    staged = documents.stage_blocks(spark.read.parquet(f"{tmp_path}/docs"))
+    # of two words with one id the last; the last value that a key names isn't there; of equal cells the last
+    assert rows(documents.forms(staged)) == [(None, "Last", "Last"), ("d", "Last", "Last"), ("d2", "Last", "")]
+    assert rows(documents.cells(staged)) == [(None, 6, 1, 1, ""), ("d", 6, 1, 1, "")]
+    for made in (documents.forms(staged), documents.block_text(staged), documents.table_records(staged), documents.record_tables(staged)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
