@@ -63,6 +63,11 @@ def touches_tenant(cmo_id: str) -> Column:
     return S.has_token(F.col("cloud_trail_event"), cmo_id) | in_resource
 
 
+def tenant_text(columns: list[str]) -> Column:
+    """The text that ``touches_tenant`` looks at, for an index over tokens: record and resource names, a line each."""
+    return F.concat_ws("\n", "cloud_trail_event", F.transform("resources", lambda r: r["ResourceName"]))
+
+
 def data_access(df: DataFrame, cmo_id: str, start, end) -> DataFrame:
     """Object events of one tenant in a window."""
     if not cmo_id:

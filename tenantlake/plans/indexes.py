@@ -1,15 +1,19 @@
-"""Registered queries: range joins by cells, pages from an order index, and changes between listings."""
+"""Registered queries: range joins by cells, pages from an order index, changes between listings, searches by postings."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tenantlake.operators import audit
 from tenantlake.operators.ranges import range_join
 from tenantlake.plans import bindings as B
 from tenantlake.plans.registry import query
 from tenantlake.session import scratch_path
 from tenantlake.sources.order_index import OrderIndex
 from tenantlake.sources.snapshots import ListingSnapshots
+from tenantlake.sources.text_index import TextIndex
 
 
 @query("orders_in_key_blocks", "SQL-13", """SELECT c_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS newest
@@ -79,3 +83,43 @@ def listing_changes(spark, sf):
     first = kept.take(files.where(F.col("k") % 7 != 0))
     kept.take(files.where(F.col("k") % 11 != 0).withColumn("size", F.col("size") + F.when(F.col("k") % 13 == 0, 1).otherwise(0)))
     return kept.since(first).select("path", "change", "size", "size_before")
+
+
+@query("searched_customers", "FLT-9", """SELECT 'segment' AS search, c_custkey, c_name FROM customer WHERE contains(lower(c_mktsegment), 'build')
+UNION ALL SELECT 'number', c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'r#00000001')
+UNION ALL SELECT 'none', c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'nobody')
+UNION ALL SELECT 'short', c_custkey, c_name FROM customer WHERE contains(lower(c_name), '77')""")
+def searched_customers(spark, sf):
+    """Customers who come in two loads, searched by their trigrams; one text is too short for any."""
+    customers = B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    index = TextIndex(spark, scratch_path(spark, "customers"), ["c_name", "c_mktsegment"])
+    for load in (0, 1):
+        index.add(load, customers.where(F.col("c_custkey") % 2 == load))
+    out = None
+    for name, term in (("segment", "BUILD"), ("number", "R#00000001"), ("none", "nobody"), ("short", "77")):
+        found = index.search(term).select(F.lit(name).alias("search"), "c_custkey", "c_name")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_WINDOW = (dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20))
+_TENANT = "cmo-7"
+_HAS = f"'(^|[^A-Za-z0-9_-]){_TENANT}([^A-Za-z0-9_-]|$)'"
+_FOUND = f"""event_id, event_name, username, CAST(epoch_us(event_time) AS BIGINT) AS at FROM v_audit
+WHERE event_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND (regexp_matches(cloud_trail_event, {_HAS}) OR regexp_matches(resource_name, {_HAS}))"""
+
+
+@query("indexed_tenant_events", "AUD-3 AUD-4", f"""SELECT 'data_access' AS report, {_FOUND} AND resource_type = 'AWS::S3::Object'
+UNION ALL SELECT 'user_actions', {_FOUND} UNION ALL SELECT 'data_modifications', {_FOUND} AND event_name = 'PutObject'""", ("v_audit",))
+def indexed_tenant_events(spark, sf):
+    """A tenant's reports from the events that its token's postings name; the events come in a load a half-month."""
+    events = B.audit_events(spark, sf)
+    index = TextIndex(spark, scratch_path(spark, "audit"), records=[audit.tenant_text, lambda names: F.to_json(F.struct(*names))])
+    half = dt.datetime(2024, 1, 15)
+    index.add(1, events.where(F.col("event_time") < half))
+    index.add(2, events.where(~F.coalesce(F.col("event_time") < half, F.lit(False))))
+    mine = index.with_token(_TENANT)
+    reports = [audit.compliance_events(mine, kind, _TENANT, *_WINDOW).select(
+        F.lit(kind).alias("report"), "event_id", "event_name", "username", F.unix_micros(F.col("event_time").cast("timestamp")).alias("at"))
+        for kind in ("data_access", "user_actions", "data_modifications")]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
