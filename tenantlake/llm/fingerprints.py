@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake.llm.common import CHUNK_BYTES, doc_texts
@@ -37,6 +37,9 @@ FILTER_FEATURES = 48
 CUT = 0.1
 #: Text in one range of document ids, about.
 RANGE_BYTES = 8 << 20
+#: Percentiles asked for at once, and partitions that the ranges are dealt to, at most.
+MOST_CUTS = 2_048
+MOST_PARTITIONS = 65_536
 
 _SCALE = 1 << 12
 _STEP = np.concatenate(([0], np.round(np.diff([c * np.log2(c) if c else 0.0 for c in range(WINDOW + 2)]) * _SCALE))).astype(np.int64)
@@ -202,6 +205,36 @@ def _compared(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
     ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _range_starts(docs: DataFrame, range_bytes: int) -> np.ndarray:
+    """The first place of each range of about ``range_bytes``, rising; the driver gets these numbers alone.
+
+    Places are cut at percentiles, and beyond ``MOST_CUTS`` each piece again, so the plan doesn't grow with the texts.
+    """
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // range_bytes))
+
+    def cuts(k: int) -> Column:
+        return F.percentile_approx("place", [i / k for i in range(1, k)], max(10_000, 4 * k))
+
+    def part_of(bounds: np.ndarray) -> Column:
+        @F.arrow_udf("int")
+        def run(place: pa.Array) -> pa.Array:
+            return pa.array(np.searchsorted(bounds, place.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
+
+        return run("place")
+
+    bounds = np.zeros(0, np.int64)
+    coarse = min(n, MOST_CUTS)
+    if coarse > 1:
+        bounds = np.unique(np.array(docs.agg(cuts(coarse)).first()[0] or [], np.int64))
+    if n > coarse:
+        finer = docs.groupBy(part_of(bounds).alias("part")).agg(cuts(-(-n // coarse)).alias("cuts")).select(F.explode("cuts").alias("cut"))
+        bounds = np.unique(np.concatenate((bounds, finer.toArrow().column("cut").to_numpy())))
+    # percentiles of large numbers are rounded; a range starts at a place that is there
+    firsts = docs.groupBy(part_of(bounds).alias("part")).agg(F.min("place").alias("place"))
+    return np.unique(firsts.toArrow().column("place").to_numpy())
+
+
 def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per row its fingerprint, its edited text's, and its likeness to the edited text's and the next document's.
 
@@ -213,25 +246,25 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """
     docs = doc_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
                                   F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // range_bytes))
-    cuts: list[int] = []
-    if n > 1:
-        cuts = docs.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bounds = np.array(sorted(set(cuts)), np.int64)
-
-    @F.arrow_udf("int")
-    def range_of(place: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(bounds, place.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
-
-    dealt = docs.withColumn("part", range_of("place"))
-    firsts = sorted(tuple(r) for r in dealt.select("part", "place").groupBy("part").agg(F.min("place")).collect())
-    before = {place: firsts[i - 1][0] for i, (_, place) in enumerate(firsts)}
-    if not firsts:
+    starts = _range_starts(docs, range_bytes)
+    if not len(starts):
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    ahead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    extra = docs.where(F.col("place").isin(list(before))).withColumn("part", ahead[F.col("place")].cast("int"))
-    rows = dealt.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
+    last = len(starts) - 1
+
+    @F.arrow_udf("array<struct<part:int,extra:boolean>>")
+    def ranges_of(place: pa.Array) -> pa.Array:
+        places = place.to_numpy(zero_copy_only=False)
+        part = np.searchsorted(starts, places, side="right") - 1
+        first = starts[part] == places
+        where = np.concatenate(([0], np.cumsum(1 + first)))
+        parts = np.repeat(part, 1 + first)
+        extra = np.zeros(len(parts), bool)
+        extra[where[1:][first] - 1] = True
+        parts[extra] = np.where(parts[extra] > 0, parts[extra] - 1, last)
+        pairs = pa.StructArray.from_arrays([pa.array(parts.astype(np.int32)), pa.array(extra)], names=["part", "extra"])
+        return pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pairs)
+
+    rows = docs.withColumn("at", F.explode(ranges_of("place"))).select("at.part", "at.extra", "doc_id", "place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, texts, size = None, [], [], 0
@@ -251,5 +284,5 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     yield _compared(ids, texts)
                     ids, texts, size = ids[-1:], texts[-1:], len(text)
 
-    placed = rows.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "extra", "place", "text")
+    placed = rows.repartition(min(last + 1, MOST_PARTITIONS), "part").sortWithinPartitions("part", "extra", "place", "text")
     return placed.select("part", "extra", "doc_id", "text").mapInArrow(run, _SCHEMA)

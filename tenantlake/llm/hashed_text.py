@@ -78,13 +78,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]
     """Features (start, number, value) and labels of at most ``rows`` labelled documents, in the order of doc_id.
 
     Label rows with a null id or a null in any of ``columns`` don't count; several rows of one id count as their
-    greatest values. Several documents of one id all count, with the id's labels.
+    greatest values. Of several documents of one id the one with the least text counts, so there are never more.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in columns]).dropna()
     known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(known), "doc_id")  # at most ``rows`` short rows
+    joined = joined.groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -224,6 +224,22 @@ def test_fingerprints_against_one_text_at_a_time(spark):
     assert sum(r.near_edited > r.near_next for r in long) >= 0.95 * len(long)
 
 
+def test_fingerprints_don_t_hang_on_the_ranges(spark, monkeypatch):
+    """Ids beyond what a double holds exactly, repeated ids, and cuts made in two steps give what one range gives."""
+    rng = random.Random(8)
+    base = (1 << 62) + 1
+    rows = [(rng.choice([None, base + i // 2, i, -i]), " ".join(rng.choices("abcdefgh", k=rng.randint(0, 200)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_id = lambda got: sorted((tuple(r) for r in got.collect()), key=str)
+    whole = by_id(fingerprints.fingerprints(docs, 1 << 30))
+    assert len(whole) == 300 and len(fingerprints._range_starts(docs.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63)))), 3000)) > 5
+    assert by_id(fingerprints.fingerprints(docs, 3000)) == whole
+    monkeypatch.setattr(fingerprints, "MOST_CUTS", 3)
+    monkeypatch.setattr(fingerprints, "MOST_PARTITIONS", 4)
+    assert len(fingerprints._range_starts(docs.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63)))), 3000)) > 5
+    assert by_id(fingerprints.fingerprints(docs, 3000)) == whole
+
+
 def test_fingerprints_of_odd_tables(spark):
     got = fingerprints.fingerprints(dirty(spark)).collect()
     assert len(got) == len(DIRTY)

@@ -214,3 +214,117 @@ def test_chain_learns_from_out_of_fold_probabilities():
                                np.array(y), np.arange(400))
     assert len(links) == 2 and len(links[0].earlier) == 0 and links[1].earlier[0] > 0
     assert math.isfinite(links[1].bias)
+
+
+def _sample(seed, n):
+    """Hashed features of short made texts, their dense matrix, and labels that hang on some of the words."""
+    chance = np.random.default_rng(seed)
+    texts = [" ".join(chance.choice(["on", "of", "good", "bad", "foul", "at"], int(chance.integers(0, 9)))) for _ in range(n)]
+    parts = [hashed_text.features(t, True) for t in texts]
+    start = np.concatenate(([0], np.cumsum([len(k) for k, _ in parts])))
+    dense = [{int(k): float(v) for k, v in zip(*p)} for p in parts]
+    return texts, dense, start, np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
+
+
+def _slow_telling(dense, y):
+    """Features that enough rows have and whose correlation with ``y`` is beyond chance, one by one."""
+    mean = sum(y) / len(y)
+    spread = sum((v - mean) ** 2 for v in y) / len(y)
+    used = []
+    for k in sorted({k for row in dense for k in row}):
+        together = sum(row[k] * (v - mean) for row, v in zip(dense, y) if k in row)
+        alone = sum(row[k] ** 2 for row in dense if k in row) * spread
+        if sum(row.get(k, 0) > 0 for row in dense) >= hashed_text.LEAST_ROWS and alone > 0 and abs(together) >= hashed_text.DEVIATIONS * math.sqrt(alone):
+            used.append(k)
+    return used
+
+
+def _slope(loss, at, i):
+    up, down = list(at), list(at)
+    up[i] += 1e-5
+    down[i] -= 1e-5
+    return (loss(up) - loss(down)) / 2e-5
+
+
+def test_ordinal_fit_against_differences_of_the_likelihood():
+    texts, dense, start, number, value = _sample(1, 160)
+    rank = [2 if "good" in t else 0 if "bad" in t else 1 for t in texts]
+    model = quality.fit_ordinal(start, number, value, np.array([10, 20, 40])[rank], steps=6)
+    used = _slow_telling(dense, rank)
+    assert used
+
+    def logistic(x):
+        return 1 / (1 + math.exp(-x))
+
+    def loss(p):
+        weights, cuts = p[:len(used)], p[len(used):]
+        total = 0.0
+        for row, r in zip(dense, rank):
+            score = sum(row.get(k, 0.0) * w for k, w in zip(used, weights))
+            at_most = logistic(cuts[r] - score) if r < 2 else 1.0
+            total -= math.log(at_most - (logistic(cuts[r - 1] - score) if r else 0.0))
+        return total / len(rank) + quality.PENALTY / 2 * sum(w * w for w in weights)
+
+    shares = [sum(r < j for r in rank) / len(rank) for j in (1, 2)]
+    at = [0.0] * len(used) + [math.log(s / (1 - s)) for s in shares]
+    seen = [1e-8] * len(at)
+    for _ in range(6):
+        slopes = [_slope(loss, at, i) for i in range(len(at))]
+        seen = [q + g * g for q, g in zip(seen, slopes)]
+        at = [a - quality.RATE * g / math.sqrt(q) * (2 if i < len(used) else 1) for i, (a, g, q) in enumerate(zip(at, slopes, seen))]
+        at[-1] = max(at[-2:])
+    assert np.abs(model.weights[used] - at[:len(used)]).max() < 1e-3 and np.abs(model.thresholds - at[len(used):]).max() < 1e-3
+    assert np.count_nonzero(model.weights) == len(used) and model.grades.tolist() == [10, 20, 40]
+
+
+def test_chain_against_folds_fitted_one_by_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    texts, dense, start, number, value = _sample(2, 200)
+    y = np.array([("bad" in t, "foul" in t or "bad" in t) for t in texts], int)
+    ids = np.arange(200) * 7 - 300
+    links = toxicity.fit_chain(start, number, value, y, ids)
+
+    def probability(row, seen, fit):
+        weights, chain, bias = fit
+        return 1 / (1 + math.exp(-(sum(row.get(k, 0.0) * w for k, w in weights.items()) + sum(a * b for a, b in zip(seen, chain)) + bias)))
+
+    def fit(rows, seen, want):
+        used = _slow_telling(rows, want)
+        width, share = len(seen[0]), sum(want) / len(want)
+
+        def loss(p):
+            model = dict(zip(used, p)), p[len(used):len(used) + width], p[-1]
+            got = [probability(r, s, model) for r, s in zip(rows, seen)]
+            nll = -sum(math.log(q if t else 1 - q) for q, t in zip(got, want)) / len(want)
+            return nll + toxicity.PENALTY / 2 * sum(w * w for w in p[:-1])
+
+        at = [0.0] * (len(used) + width) + [math.log(share / (1 - share))]
+        squares = [1e-8] * len(at)
+        for _ in range(5):
+            slopes = [_slope(loss, at, i) for i in range(len(at))]
+            squares = [q + g * g for q, g in zip(squares, slopes)]
+            at = [a - toxicity.RATE * g / math.sqrt(q) for a, g, q in zip(at, slopes, squares)]
+        return dict(zip(used, at)), at[len(used):len(used) + width], at[-1]
+
+    fold = [(int(i) * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % toxicity.FOLDS for i in ids]
+    assert set(fold) == set(range(toxicity.FOLDS))
+    none = [[] for _ in texts]
+    unseen = [0.0] * len(texts)
+    for f in set(fold):
+        inside = [i for i in range(len(texts)) if fold[i] != f]
+        model = fit([dense[i] for i in inside], [none[i] for i in inside], y[inside, 0].tolist())
+        for i in range(len(texts)):
+            if fold[i] == f:
+                unseen[i] = probability(dense[i], [], model)
+    for link, want in zip(links, (fit(dense, none, y[:, 0].tolist()), fit(dense, [[p] for p in unseen], y[:, 1].tolist()))):
+        assert want[0] and max(abs(link.weights[k] - w) for k, w in want[0].items()) < 5e-3
+        assert abs(link.bias - want[2]) < 5e-3 and np.abs(link.earlier - want[1]).sum() < 5e-3
+
+
+def test_the_sample_holds_one_document_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 10, f"{i // 10} text of words") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    start, number, _, y, ids = hashed_text.labelled_sample(docs, labels, ("quality",), 6, True)
+    assert len(ids) == len(set(ids.tolist())) == len(y) == 6 and len(start) == 7
+    least = hashed_text.features("0 text of words", True)[0].tolist()
+    assert all(number[a:b].tolist() == least for a, b in zip(start, start[1:]))
