@@ -1,17 +1,21 @@
 """OCR and vision output to tables.
 
-A document is one row with an array of blocks. Per-document sums and line lists use array functions
-in place; references between blocks (key to value, cell to words) are windows over (document, block id),
-after one exchange that brings a document's blocks together.
+A document is one row with an array of blocks. Per-document sums, line lists and references between blocks
+(key to value, cell to words) use array functions in place. Documents that take many look-ups, and those whose id
+is null or in several rows, are resolved by windows over (document, block id), after one exchange that brings a
+document's blocks together; both ways give the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenantlake.functions import paths as P
 from tenantlake.functions import scalars as S
+from tenantlake.session import stage
 
 # Confidence needed to skip manual review, and header fields of a certificate.
 CONFIDENCE_THRESHOLD = 0.85
@@ -20,6 +24,9 @@ CERTIFICATE_FIELDS = ("Product Name", "Batch / Lot", "Mfg Date", "Expiry Date",
 
 DOC = "doc_id"
 LINKED_TYPES = ("WORD", "CELL", "TABLE", "KEY_VALUE_SET")
+_TABLE_KINDS = ("CELL", "TABLE")
+#: Blocks and links of a document that is resolved in its row, where a look-up goes through the blocks.
+IN_ROW = 1_024
 
 
 def line_texts(blocks: Column) -> Column:
@@ -107,13 +114,117 @@ def _with_texts(blocks: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         *[F.first(c).alias(c) for c in ("row", "col", "is_key", "refs")], text.alias("text"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once: inside a lambda it is a variable, not the expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _find(ids: Column, values: Column, key: Column) -> Column:
+    """The value at the first place of the key among the ids; null for none."""
+    return F.get(values, (F.array_position(ids, key) - 1).cast("int"))
+
+
+def _link_ids(block: Column, kind: str) -> Column:
+    """Ids of a block's links of one relationship type, in order."""
+    found = F.transform(block["Relationships"], lambda rel: F.when(rel["Type"] == kind, rel["Ids"]))
+    return F.coalesce(F.flatten(F.filter(found, lambda ids: ids.isNotNull())), F.array().cast("array<string>"))
+
+
+def _last_of(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The items without those whose key comes again."""
+    return _let(items, lambda xs: _let(F.reverse(F.transform(xs, key)), lambda keys: F.filter(
+        xs, lambda x, i: F.array_position(keys, key(x)) == F.size(xs) - i)))
+
+
+def _texts_in_row(blocks: Column, kinds: tuple[str, ...]) -> Column:
+    """``_with_texts`` of one document as an array."""
+    words = F.filter(F.reverse(blocks), lambda b: b["BlockType"] == "WORD")
+
+    def one(pos: Column, b: Column, words: Column) -> Column:
+        kind, is_key = b["BlockType"], F.coalesce(F.array_contains(b["EntityTypes"], "KEY"), F.lit(False))
+        own = F.filter(F.transform(_link_ids(b, "CHILD"), lambda i: _find(words["ids"], words["texts"], i)), lambda w: w.isNotNull())
+        refs = F.when(kind == "TABLE", _link_ids(b, "CHILD")).when(
+            (kind == "KEY_VALUE_SET") & is_key, F.slice(F.reverse(_link_ids(b, "VALUE")), 1, 1))
+        return F.struct(
+            pos.alias("pos"), b["Id"].alias("block_id"), kind.alias("kind"), F.coalesce(b["RowIndex"], F.lit(0)).alias("row"),
+            F.coalesce(b["ColumnIndex"], F.lit(0)).alias("col"), is_key.alias("is_key"), refs.alias("refs"),
+            F.when(kind != "TABLE", _let(own, lambda ws: F.when(F.size(ws) > 0, F.array_join(ws, " ")))).alias("text"))
+
+    return _let(
+        _let(words, lambda ws: F.struct(ws["Id"].alias("ids"), F.transform(ws["Text"], lambda t: F.coalesce(t, F.lit(""))).alias("texts"))),
+        lambda ws: F.filter(F.transform(blocks, lambda b, i: F.when(b["BlockType"].isin(*kinds), one(i, b, ws))), lambda e: e.isNotNull()))
+
+
+def _found_in_row(blocks: Column, kinds: tuple[str, ...]) -> Column:
+    """``resolved`` of one document: its fields (key, value) and cells (pos, row, col, text), both as arrays."""
+    def fields(ends: Column, to: Column) -> Column:
+        keys = F.filter(ends, lambda e: e["is_key"] & (e["kind"] == "KEY_VALUE_SET") & (F.coalesce(e["text"], F.lit("")) != ""))
+        value = lambda e: _let(_find(to["ids"], to["ends"], F.get(e["refs"], F.lit(0))), lambda v: F.coalesce(
+            F.when(v["kind"] == "KEY_VALUE_SET", v["text"]), F.lit("")))
+        return _last_of(F.transform(keys, lambda e: F.struct(e["text"].alias("key"), value(e).alias("value"))), lambda f: f["key"])
+
+    def cells(table: Column, to: Column) -> Column:
+        there = F.filter(F.transform(table["refs"], lambda i: _find(to["ids"], to["ends"], i)), lambda c: c["kind"] == "CELL")
+        return _last_of(F.transform(there, lambda c: F.struct(
+            table["pos"].alias("pos"), c["row"].alias("row"), c["col"].alias("col"), F.coalesce(c["text"], F.lit("")).alias("text"))),
+            lambda c: F.struct(c["row"], c["col"]))
+
+    def both(ends: Column) -> Column:
+        can = F.filter(F.reverse(ends), lambda e: e["kind"].isin("CELL", "KEY_VALUE_SET"))
+        to = _let(can, lambda es: F.struct(es["block_id"].alias("ids"), es.alias("ends")))
+        return _let(to, lambda t: F.struct(fields(ends, t).alias("fields"), F.flatten(F.transform(
+            F.filter(ends, lambda e: e["kind"] == "TABLE"), lambda e: cells(e, t))).alias("cells")))
+
+    return _let(_texts_in_row(blocks, kinds), both)
+
+
+def _lines_in_row(found: Column) -> Column:
+    """A document's table rows in order: (table_no, row, by_col), with (col, text) in column order."""
+    lines = F.array_sort(F.array_distinct(F.transform(found["cells"], lambda c: F.struct(c["pos"].alias("table_no"), c["row"].alias("row")))))
+    return F.transform(lines, lambda at: F.struct(at["table_no"].alias("table_no"), at["row"].alias("row"), F.array_sort(F.transform(
+        F.filter(found["cells"], lambda c: (c["pos"] == at["table_no"]) & (c["row"] == at["row"])),
+        lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text")))).alias("by_col")))
+
+
+def _work(blocks: str) -> Column:
+    """Blocks and links of a document."""
+    return F.coalesce(F.aggregate(F.col(f"{blocks}.Relationships"), F.lit(0), lambda n, rels: n + 1 + F.coalesce(
+        F.aggregate(rels["Ids"], F.lit(0), lambda k, ids: k + F.coalesce(F.size(ids), F.lit(0))), F.lit(0))), F.lit(0))
+
+
+def dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents that are resolved in their rows, and the others, None without any.
+
+    The others have more than ``IN_ROW`` blocks and links, a null id, or an id that is in several rows. Only ids
+    are exchanged to know them.
+    """
+    counted = docs.groupBy(DOC).agg(F.count(F.lit(1)).alias("n"), F.max(_work("blocks")).alias("work"))
+    others = stage(counted.where(F.col(DOC).isNull() | (F.col("n") > 1) | (F.col("work") > IN_ROW)).select(F.col(DOC).alias("_other")), "others")
+    if others.isEmpty():
+        return docs, None
+    same = F.col(DOC).eqNullSafe(F.col("_other"))
+    return docs.join(others, same, "left_anti"), docs.join(others, same, "left_semi")
+
+
+def _either(blocks: DataFrame, in_row: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``long`` of staged blocks; of documents ``in_row`` where it can be, and ``long`` for the others."""
+    if "blocks" not in blocks.columns:
+        return long(blocks)
+    easy, others = dealt(blocks)
+    return in_row(easy) if others is None else in_row(easy).unionByName(long(stage_blocks(others)))
+
+
 def block_text(blocks: DataFrame, *kinds: str) -> DataFrame:
     """(doc_id, block_id, text): WORD children joined by spaces, in child order.
 
-    Blocks without words are absent; callers coalesce to ''.
+    ``blocks`` are documents (doc_id, blocks), or blocks from ``stage_blocks``, here and below. Blocks without words
+    are absent; callers coalesce to ''.
     """
-    return _with_texts(blocks, kinds or ("CELL", "KEY_VALUE_SET")).where(F.col("text").isNotNull()).select(
-        DOC, "block_id", "text")
+    kinds = kinds or ("CELL", "KEY_VALUE_SET")
+    texts = lambda docs: docs.select(DOC, F.inline(F.transform(
+        F.filter(_texts_in_row(F.col("blocks"), tuple(k for k in kinds if k in LINKED_TYPES and k != "WORD")), lambda e: e["text"].isNotNull()),
+        lambda e: F.struct(e["block_id"].alias("block_id"), e["text"].alias("text")))))
+    return _either(blocks, texts, lambda long: _with_texts(long, kinds).where(F.col("text").isNotNull()).select(DOC, "block_id", "text"))
 
 
 def resolved(blocks: DataFrame, *kinds: str) -> DataFrame:
@@ -158,12 +269,15 @@ def _cells(found: DataFrame) -> DataFrame:
 
 def forms(blocks: DataFrame) -> DataFrame:
     """(doc_id, key, value) of the form fields; empty keys dropped, the last of equal keys wins."""
-    return _fields(resolved(blocks, "KEY_VALUE_SET"))
+    return _either(blocks, lambda docs: docs.select(DOC, F.inline(_found_in_row(F.col("blocks"), ("KEY_VALUE_SET",))["fields"])),
+                   lambda long: _fields(resolved(long, "KEY_VALUE_SET")))
 
 
 def cells(blocks: DataFrame) -> DataFrame:
     """(doc_id, table_no, row, col, text): table_no is the block position; the last of equal cells wins."""
-    return _cells(resolved(blocks, "CELL", "TABLE"))
+    return _either(
+        blocks, lambda docs: docs.select(DOC, F.inline(_found_in_row(F.col("blocks"), _TABLE_KINDS)["cells"])).withColumnRenamed("pos", "table_no"),
+        lambda long: _cells(resolved(long, *_TABLE_KINDS)))
 
 
 def table_rows(blocks: DataFrame) -> DataFrame:
@@ -171,7 +285,11 @@ def table_rows(blocks: DataFrame) -> DataFrame:
 
     ``by_col`` keeps the texts under their column index. One table row is collected at a time.
     """
-    return _rows_of(cells(blocks))
+    def in_row(docs: DataFrame) -> DataFrame:
+        lines = docs.select(DOC, F.inline(_let(_found_in_row(F.col("blocks"), _TABLE_KINDS), _lines_in_row)))
+        return lines.select(DOC, "table_no", "row", F.col("by_col.text").alias("cells"), F.map_from_entries("by_col").alias("by_col"))
+
+    return _either(blocks, in_row, lambda long: _rows_of(cells(long)))
 
 
 def _rows_of(found: DataFrame) -> DataFrame:
@@ -184,10 +302,14 @@ def _records(rows: DataFrame) -> DataFrame:
     of_table = Window.partitionBy(DOC, "table_no")
     body = rows.withColumns({"first_row": F.min("row").over(of_table), "header": F.min_by("cells", "row").over(of_table)}).where(
         F.col("row") > F.col("first_row"))
-    names = F.array_distinct("header")
-    last_at = F.transform(names, lambda h: F.size("header") - F.array_position(F.reverse("header"), h) + 1)
-    values = F.transform(last_at, lambda i: F.coalesce(F.try_element_at("by_col", i.cast("int")), F.lit("")))
-    return body.select(DOC, "table_no", "row", F.map_from_arrays(names, values).alias("record"))
+    return body.select(DOC, "table_no", "row", _record(F.col("header"), F.col("by_col")).alias("record"))
+
+
+def _record(header: Column, by_col: Column) -> Column:
+    names = F.array_distinct(header)
+    last_at = F.transform(names, lambda h: F.size(header) - F.array_position(F.reverse(header), h) + 1)
+    values = F.transform(last_at, lambda i: F.coalesce(F.try_element_at(by_col, i.cast("int")), F.lit("")))
+    return F.map_from_arrays(names, values)
 
 
 def table_records(blocks: DataFrame) -> DataFrame:
@@ -196,7 +318,19 @@ def table_records(blocks: DataFrame) -> DataFrame:
     Header names are taken by place; cells are read at column 1, 2, ... whatever the header's own
     columns were; of equal header names the last wins.
     """
-    return _records(table_rows(blocks))
+    def body(lines: Column) -> Column:
+        # lines are in order, so a table's first is its header
+        headed = F.transform(lines, lambda x: F.struct(x.alias("line"), F.get(
+            F.filter(lines, lambda y: y["table_no"] == x["table_no"]), F.lit(0)).alias("head")))
+        return F.transform(F.filter(headed, lambda x: x["line"]["row"] > x["head"]["row"]), lambda x: F.struct(
+            x["line"]["table_no"].alias("table_no"), x["line"]["row"].alias("row"), x["line"]["by_col"].alias("by_col"),
+            x["head"]["by_col"]["text"].alias("header")))
+
+    def in_row(docs: DataFrame) -> DataFrame:
+        lines = docs.select(DOC, F.inline(_let(_found_in_row(F.col("blocks"), _TABLE_KINDS), lambda f: _let(_lines_in_row(f), body))))
+        return lines.select(DOC, "table_no", "row", _record(F.col("header"), F.map_from_entries("by_col")).alias("record"))
+
+    return _either(blocks, in_row, lambda long: _records(table_rows(long)))
 
 
 def matrices(blocks: DataFrame) -> DataFrame:
@@ -257,14 +391,16 @@ def with_source(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     return docs.join(jobs, "job_id")
 
 
-def process_documents(docs: DataFrame, bucket: str, at: Column,
-                      threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
-    """One row per document: text lines, tables, forms, confidence and destination.
+def _forms_and_tables(found: Column) -> Column:
+    matrix = lambda lines, t: F.transform(F.filter(lines, lambda x: x["table_no"] == t), lambda x: x["by_col"]["text"])
+    tables = _let(_lines_in_row(found), lambda lines: F.transform(
+        F.array_distinct(F.transform(lines, lambda x: x["table_no"])), lambda t: matrix(lines, t)))
+    return F.struct(F.map_from_entries(found["fields"]).alias("forms"), tables.alias("tables"))
 
-    ``docs``: (doc_id, cmo_id, data_domain, file_key, blocks). Forms and tables come of one pass over the
-    blocks and are put back with one join; a document's output is no larger than the row it came from.
-    """
-    found = resolved(stage_blocks(docs))
+
+def _whole(blocks: DataFrame) -> DataFrame:
+    """(doc_id, forms, tables), a row a document."""
+    found = resolved(blocks)
     # a document's rows are in one place: its tables' cells, then its fields and tables, are grouped where they are
     by_col = F.array_sort(F.collect_list(F.struct("col", "text")))
     is_field = F.col("kind") == "KEY_VALUE_SET"
@@ -273,14 +409,29 @@ def process_documents(docs: DataFrame, bucket: str, at: Column,
     tables = lined.groupBy(DOC, "kind", "pos").agg(
         F.collect_list(F.when(is_field, F.struct("key", F.get("cells", F.lit(0)).alias("value")))).alias("fields"),
         F.transform(F.array_sort(F.collect_list(F.when(~is_field, F.struct("row", "cells")))), lambda r: r["cells"]).alias("matrix"))
-    whole = tables.groupBy(DOC).agg(
+    return tables.groupBy(DOC).agg(
         F.map_from_entries(F.flatten(F.collect_list("fields"))).alias("forms"),
         F.transform(F.array_sort(F.collect_list(F.when(~is_field, F.struct("pos", "matrix")))), lambda t: t["matrix"]).alias("tables"))
-    base = docs.select(DOC, "cmo_id", "data_domain", "file_key", line_texts(F.col("blocks")).alias("lines"),
-                       block_confidence(F.col("blocks")).alias("confidence"),
-                       F.coalesce(F.size("blocks"), F.lit(0)).alias("block_count"))
+
+
+def process_documents(docs: DataFrame, bucket: str, at: Column,
+                      threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+    """One row per document: text lines, tables, forms, confidence and destination.
+
+    ``docs``: (doc_id, cmo_id, data_domain, file_key, blocks). Forms and tables are made in the document's row; those
+    of the documents that ``dealt`` sets apart come of one pass over their blocks and are put back with one join. A
+    document's output is no larger than the row it came from.
+    """
+    known = [line_texts(F.col("blocks")).alias("lines"), block_confidence(F.col("blocks")).alias("confidence"),
+             F.coalesce(F.size("blocks"), F.lit(0)).alias("block_count")]
+    easy, others = dealt(docs)
+    done = easy.select(DOC, "cmo_id", "data_domain", "file_key", *known, _let(
+        _found_in_row(F.col("blocks"), ("KEY_VALUE_SET", *_TABLE_KINDS)), _forms_and_tables).alias("found")).select("*", "found.*").drop("found")
+    if others is not None:
+        base = others.select(DOC, "cmo_id", "data_domain", "file_key", *known)
+        done = done.unionByName(base.join(_whole(stage_blocks(others)), DOC, "left"))
     ext = S.file_extension(F.col("file_key"))
-    return route(base.join(whole, DOC, "left"), bucket, at, threshold).withColumns({
+    return route(done, bucket, at, threshold).withColumns({
         "document_type": F.when(ext == ".pdf", "pdf").otherwise("image"),
         "forms": F.coalesce("forms", F.create_map().cast("map<string,string>")),
         "tables": F.coalesce("tables", F.array().cast("array<array<array<string>>>")),
