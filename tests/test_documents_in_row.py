@@ -69,3 +69,17 @@ def test_documents_in_rows_need_no_exchange(spark, docs, tmp_path):
                  documents.process_documents(kept, "lake", F.current_timestamp())):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_stream_of_documents_keeps_its_responses_compressed(spark, tmp_path, monkeypatch):
+    """Failed before: the responses were written as plain JSON, and staged as a table beside it."""
+    from tenantlake.plans import streams as plans
+
+    spark.createDataFrame([(i, i % 50, "O", "1-URGENT") for i in range(1, 41)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    paths = iter(range(10))
+    monkeypatch.setattr(plans, "scratch_path", lambda spark, name: f"{tmp_path}/kept/{next(paths)}")
+    got = rows(plans.stream_documents(spark, str(tmp_path)))
+    assert [r[0] for r in sorted(got)] == list(range(2, 41, 2)) and all(r[3] == str(r[0]) for r in got)
+    files = [p.name for p in (tmp_path / "kept").glob("*/ocr/part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
