@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenantlake.operators import quality
-from tenantlake.operators.windows import sequence_numbers
 from tenantlake.session import stage
 from tenantlake.sources.states import PartitionStates
 
@@ -42,13 +41,21 @@ class MeasureStore:
     def _numbered(self, values: DataFrame) -> DataFrame:
         """(column_name, value, number) of all different values, new ones put into the dictionary."""
         known = self._dictionary()
-        new = stage(values.select("column_name", "value").distinct().join(known, ["column_name", "value"], "left_anti"), "words")
-        if not new.isEmpty():
+        new = values.select("column_name", "value").distinct().join(known, ["column_name", "value"], "left_anti")
+        # a task's rows are counted as it writes them, a column after the other: what is read again is what was counted
+        new = stage(new.sortWithinPartitions("column_name").withColumns({"task": F.spark_partition_id(), "row": F.monotonically_increasing_id().bitwiseAND(
+            F.lit((1 << 33) - 1))}), "words")
+        runs = sorted(new.groupBy("column_name", "task").agg(F.min("row"), F.count(F.lit(1))).collect())  # one a task and column
+        if runs:
             top, load = known.agg(F.coalesce(F.max("number"), F.lit(-1)), F.count(F.lit(1))).first()
-            # numbers of all columns follow each other, so that one bitmap bucket holds neighbours
-            numbered = sequence_numbers(new.withColumn("_all", F.lit(0)), ["_all"], ["column_name", "value"], "number")
-            self.words.replace(numbered.select("column_name", "value", (F.col("number") + F.lit(top)).alias("number"),
-                                               F.lit(load).alias("load")))
+            # numbers of a column follow each other, so that one bitmap bucket holds neighbours
+            starts, at = [], top + 1
+            for column, task, first, n in runs:
+                starts.append((column, task, at - first))
+                at += n
+            starts = self.spark.createDataFrame(starts, "column_name string, task int, start long")
+            self.words.replace(new.join(starts, ["column_name", "task"]).select(
+                "column_name", "value", (F.col("row") + F.col("start")).alias("number"), F.lit(load).alias("load")), together=False)
         return self._dictionary()
 
     def load(self, rows: DataFrame) -> None:

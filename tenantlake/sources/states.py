@@ -25,9 +25,12 @@ class PartitionStates:
         at, fs = self._path(self.root)
         return fs.exists(at)
 
-    def replace(self, states: DataFrame) -> None:
-        """Put in the states of the partitions that ``states`` holds, in place of what these partitions had."""
-        states.repartition(*self.levels).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    def replace(self, states: DataFrame, together: bool = True) -> None:
+        """Put in the states of the partitions that ``states`` holds, in place of what these partitions had.
+
+        A partition's states are written by one task, or, if not ``together``, by the tasks that hold them.
+        """
+        (states.repartition(*self.levels) if together else states).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *self.levels).parquet(self.root)
 
     def retract(self, partitions: DataFrame) -> None:

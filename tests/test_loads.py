@@ -93,3 +93,17 @@ def test_measures_over_loads_equal_a_full_pass(spark, tmp_path, n):
 def test_gold_store_needs_its_columns(spark, tmp_path):
     with pytest.raises(gold.GoldError, match="data_domain"):
         GoldStore(spark, str(tmp_path), ["day"], "ts").load(spark.createDataFrame([("c", "d")], "cmo_id string, day string"))
+
+
+def test_the_words_of_a_load_are_written_by_the_tasks_that_hold_them(spark, tmp_path):
+    """Failed before: one task wrote all words of a load."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = MeasureStore(spark, str(tmp_path), RULES, LEVELS)
+        store.load(spark.createDataFrame(lines(1, range(1, 30)), DDL))
+        store.load(spark.createDataFrame(lines(5, (3, 40)), DDL))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    words = store._dictionary().collect()
+    assert sorted(w.number for w in words) == list(range(len(words))) and len(set(words)) == len(words)
+    assert len([f for f in store.words.read().inputFiles() if "load=0/" in f]) > 1
