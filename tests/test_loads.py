@@ -101,7 +101,7 @@ def test_the_words_of_a_load_are_written_by_the_tasks_that_hold_them(spark, tmp_
     try:
         store = MeasureStore(spark, str(tmp_path), RULES, LEVELS)
         store.load(spark.createDataFrame(lines(1, range(1, 30)), DDL))
-        store.load(spark.createDataFrame(lines(5, (3, 40)), DDL))
+        store.load(spark.createDataFrame(lines(5, (3, 30)), DDL))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     words = store._dictionary().collect()
