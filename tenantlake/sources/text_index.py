@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tenantlake.functions import scalars as S
 from tenantlake.operators.filters import text_search
+from tenantlake.session import stage
 
 #: Rows of a part, about: no posting is longer.
 PART_ROWS = 65_536
@@ -149,9 +150,13 @@ class TextIndex:
         return text_search(self.holding(self.words_of(term)), term, self.columns)
 
     def with_token(self, token: str) -> DataFrame:
-        """The rows that hold a whole token in one of the records; one of other characters is looked for in all rows."""
+        """The rows that hold a whole token in one of the records; one of other characters is looked for in all rows.
+
+        The rows that the postings name are staged: Spark would move this look at the records, and each one of a report
+        over the result, before the join with the postings, to every row of the opened parts.
+        """
         if not self.records:
             raise ValueError("the index has no tokens")
         plain = token and all(c.isascii() and (c.isalnum() or c in "_-") for c in token)
-        rows = self.holding(["t" + token] if plain else [])
+        rows = stage(self.holding(["t" + token]), "holding") if plain else self.read()
         return rows.where(reduce(or_, [S.has_token(record(rows.columns), token) for record in self.records]))

@@ -70,6 +70,17 @@ def test_a_search_opens_the_parts_that_can_match(spark, tmp_path):
     assert index.opened(["gnot"]) == [] and index.search("nothing").count() == 0
 
 
+def test_records_are_looked_at_in_the_rows_of_the_postings_only(spark, tmp_path):
+    """Failed before: the look at the records ran on every row of the opened parts, again for each report over them."""
+    table = [(i, "cmo-1" if i % 50 == 0 else "cmo-2", f"item {i}") for i in range(200)]
+    index = TextIndex(spark, f"{tmp_path}/rows", records=[lambda names: F.to_json(F.struct(*names))])
+    index.add(0, spark.createDataFrame(table, DDL))
+    found = index.with_token("cmo-1")
+    assert sorted(r.id for r in found.collect()) == [0, 50, 100, 150]
+    read = found.inputFiles()
+    assert read and not [f for f in read if "/part=" in f] and spark.read.parquet(*read).count() == 4
+
+
 def test_odd_tables(spark, tmp_path):
     index = TextIndex(spark, f"{tmp_path}/none", ["name"])
     with pytest.raises(ValueError):
