@@ -105,6 +105,11 @@ def fill_nulls(df: DataFrame, schema: TableSchema, defaults: Mapping[str, object
     return df.select(*out)
 
 
+def orderable(value: Column, dtype: str) -> Column:
+    """The value, or its JSON text: Spark orders neither maps nor variants, on their own or inside another type."""
+    return F.to_json(F.struct(value)) if re.search(r"\b(map<|variant\b)", dtype) else value
+
+
 def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], keep: str = "last") -> DataFrame:
     """One row per key (null keys equal each other): the first or last in ``order_by``.
 
@@ -118,9 +123,7 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Col
         raise CleanseError(f"Deduplication key columns not found: {gone}")
     columns = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order_by]
     named = {c for c in order_by if isinstance(c, str)} | set(keys)
-    # Spark orders neither maps nor variants, on their own or inside another type; their JSON text is
-    ties = [F.to_json(F.struct(F.col(f"`{n}`"))) if re.search(r"\b(map<|variant\b)", t) else F.col(f"`{n}`")
-            for n, t in df.dtypes if n not in named]
+    ties = [orderable(F.col(f"`{n}`"), t) for n, t in df.dtypes if n not in named]
     direction = F.desc_nulls_last if keep == "last" else F.asc_nulls_first
     ordering = [direction(c) for c in [*columns, *ties]]
     rank = F.row_number().over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*ordering))

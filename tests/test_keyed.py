@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from tenantlake.operators.cleanse import deduplicate
+from tenantlake.sources import keyed
 from tenantlake.sources.keyed import KeyedTable
 from tests.conftest import rows
 
@@ -67,6 +69,35 @@ def test_filters_never_miss_and_seldom_hit_wrongly(spark, tmp_path):
     assert strangers <= len(files(table)) // 4
 
 
+def test_a_load_ranks_its_own_rows_only_and_asks_a_file_once(spark, tmp_path, monkeypatch):
+    """Failed before: all rows of the files were ranked anew with the load's, and all keys were asked of every file."""
+    ranked, asked = [], []
+    once, hit = keyed.deduplicate, KeyedTable._hit
+    monkeypatch.setattr(keyed, "deduplicate", lambda df, *a: ranked.append(df.count()) or once(df, *a))
+    monkeypatch.setattr(KeyedTable, "_hit", lambda self, known, keys, sizes: asked.append(
+        (known.select("file").distinct().count(), keys.count())) or hit(self, known, keys, sizes))
+    table = KeyedTable(spark, str(tmp_path), ["id"], ["ts"], ["day"])
+    many = spark.range(4000).selectExpr("'c' as cmo_id", "string(id) as id", "concat('d', id % 4) as day", "1 as ts", "1 as v")
+    table.merge(many)
+    live = len(files(table))
+    table.merge(many.where("id % 2 = 0").selectExpr("cmo_id", "id", "day", "int(id % 3) as ts", "2 as v"))
+    assert ranked == [4000, 2000]
+    assert asked[0][0] == live and asked[0][1] < 100 and asked[1] == (0, 2000) or asked[1][0] < live
+    want = [(str(i), 1 if i % 2 or i % 3 == 0 else i % 3, 1 if i % 2 or i % 3 == 0 else 2) for i in range(4000)]
+    assert rows(table.read().select("id", "ts", "v")) == sorted(want)
+
+
+def test_ties_nulls_and_maps_are_decided_as_by_ranking(spark, tmp_path):
+    ddl = "id string, ts int, m map<string,int>, d double"
+    loads = [[(None, 1, {"a": 1}, 1.0), ("a", None, {"a": 1}, None), ("b", 2, {"a": 1}, float("nan")), ("c", 2, None, 1.0), ("e", 1, None, None)],
+             [(None, 1, {"a": 2}, 0.0), ("a", None, {"a": 1}, 0.5), ("b", 2, {"a": 1}, 9.0), ("c", 2, {"z": 0}, None), ("f", 1, None, None)]]
+    table = KeyedTable(spark, str(tmp_path), ["id"], ["ts"])
+    for load in loads:
+        table.merge(spark.createDataFrame(load, ddl).coalesce(1))
+    want = deduplicate(spark.createDataFrame(loads[0] + loads[1], ddl), ["id"], ["ts"])
+    assert [str(r) for r in rows(table.read())] == [str(r) for r in rows(want)]
+
+
 def test_a_failed_load_is_written_over(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path), ["id"], ["ts"])
     table.merge(frame(spark, [("c", "a", "d", 1, 1)]))
