@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from tenantlake.operators import access, filters
 from tenantlake.plans import streams
+from tenantlake.sources import sinks
 from tests.conftest import rows
 
 
@@ -16,6 +19,32 @@ def test_connection_counts_see_every_contract(spark):
         (1, "cmo-1", len(live), live[0]), (2, "cmo-1", len(live), live[0]), (3, "cmo-9", 0, None)]
 
 
+def test_delivered_files_are_there_a_wave_at_a_time(spark, tmp_path, monkeypatch):
+    """Failed before: all files of all deliveries were on the disk at once."""
+    spark.range(1, 61).selectExpr("id as l_orderkey", "id % 7 as l_suppkey", "id * 2 as l_partkey", "int(id % 3) + 1 as l_linenumber").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 41).selectExpr("id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus", "1.0D as o_totalprice",
+                                  "timestamp '2024-01-01' as o_orderdate", "'1' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(streams, "FILES_AT_ONCE", 10)
+    roots, there, write = [], [], sinks.write_files
+    holds = lambda root: sum(len(f) for _, _, f in os.walk(root))
+
+    def counted(files, root):
+        there.append(sum(map(holds, roots)))  # those of earlier waves
+        roots.append(root)
+        n = write(files, root)
+        there.append(holds(root) - sum(f.endswith(".crc") for _, _, fs in os.walk(root) for f in fs))
+        return n
+
+    monkeypatch.setattr(sinks, "write_files", counted)
+    got = streams.listed_files(spark, str(tmp_path)).collect()
+    assert sorted((r.cmo_id, int(r.batch_id)) for r in got) == sorted((f"cmo-{i % 7}", i) for i in range(1, 61))
+    assert len(roots) == 6 and not sum(there[::2]) and sum(there[1::2]) == 60 and max(there[1::2]) < 60
+    got = streams.stream_ingest_receipts(spark, str(tmp_path)).collect()
+    assert sorted((r.batch_key, r.received, r.missing) for r in got) == [(i, 1, 3) for i in range(1, 41)]
+    assert len(roots) == 12 and not sum(map(holds, roots))
+
+
 def test_every_delivery_and_user_is_taken(spark, tmp_path):
     spark.range(1, 61).selectExpr("id as l_orderkey", "id % 7 as l_suppkey", "id * 2 as l_partkey", "1 as l_linenumber").union(
         spark.range(1, 61).selectExpr("id", "id % 7", "id * 3", "2")).write.parquet(f"{tmp_path}/lineitem.parquet")
