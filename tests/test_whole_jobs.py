@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from tenantlake.operators import access, filters
 from tenantlake.plans import streams
 from tenantlake.sources import sinks
+from tenantlake.streaming import streams as lake_streams
 from tests.conftest import rows
 
 
@@ -55,3 +58,27 @@ def test_every_delivery_and_user_is_taken(spark, tmp_path):
     got, _ = access.grant_users("cmo-3", users, {"lines": (alpha, ["price"])}, spark.createDataFrame([], access.GRANTS_DDL))
     one, _ = access.grant_user("cmo-3", "role-57", {"lines": (alpha, ["price"])}, spark.createDataFrame([], access.GRANTS_DDL))
     assert got.count() == 300 and rows(access.list_grants(got, "role-57")) == rows(one)
+
+
+def test_arrivals_make_few_tasks(spark, tmp_path):
+    """Failed before: a stream over many small files wrote each micro-batch as a file for every few of them."""
+    root, out = tmp_path / "lake", str(tmp_path / "out")
+    arrivals = lake_streams.arrivals(spark, (root.mkdir(), str(root))[1])
+    for i in range(600):
+        path = root / f"bronze/cmo-{i % 40}/coa/incoming/{i}/bmr/f.csv"
+        path.parent.mkdir(parents=True)
+        path.write_text("x")
+    parts, stage = [], lake_streams.stage
+
+    def counted(df, name):
+        parts.append(df.rdd.getNumPartitions())
+        return stage(df, name)
+
+    lots = spark.createDataFrame([], "batch_id string, lot_number string")
+    lake_streams.stage = counted
+    try:
+        lake_streams.ingest_stream(spark, str(root), out, str(tmp_path / "state"), lots, F.current_timestamp(), files=arrivals).awaitTermination()
+    finally:
+        lake_streams.stage = stage
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{out}/receipts").select("batch_id").distinct().count() == 600
