@@ -60,6 +60,42 @@ def test_every_delivery_and_user_is_taken(spark, tmp_path):
     assert got.count() == 300 and rows(access.list_grants(got, "role-57")) == rows(one)
 
 
+def test_spent_folders_are_written_over(spark, tmp_path):
+    """Failed before: every wave made its files and folders anew and removed them."""
+    root, spent = str(tmp_path / "root"), str(tmp_path / "spent")
+
+    def held(at):
+        return {os.path.join(d, f).removeprefix(f"{at}/"): open(os.path.join(d, f)).read() for d, _, fs in os.walk(at) for f in fs}
+
+    def inodes(at):
+        return {os.stat(os.path.join(d, f)).st_ino for d, _, fs in os.walk(at) for f in fs}
+
+    first = {"a/in/1/x/f.csv": "long text", "a/in/2/x/f.csv": "2", "a/in/2/y/f.csv": "3", "b/in/3/z/f.csv": "4"}
+    others = [
+        {"a/in/9/x/f.csv": "5", "c/in/8/q/f.csv": "66", "c/in/8/r/g.csv": "\u00fc", "c/in/8/s/f.csv": ""},  # fewer folders, more files in one
+        {"d/in/1/x/f.csv": "7", "d/in/2/x/f.csv": "8", "d/in/3/x/f.csv": "9", "d/in/4/x/f.csv": "10", "e/in/5/y/f.csv": "11"}]
+    os.makedirs(root)
+    seen = set()
+    for n, wave in enumerate([first, *others]):
+        files = spark.createDataFrame([(k, t, spent) for k, t in wave.items()], "key string, text string, spent string").coalesce(1)
+        assert sinks.write_files(files, root) == len(wave) and held(root) == wave
+        assert sinks.write_files(files, root) == len(wave) and held(root) == wave  # as a task that is run again
+        assert not n or len(inodes(root) & seen) == min(len(wave), len(seen))
+        seen |= inodes(root)
+        assert sinks.retire_files(files, root) == len(wave) and os.listdir(root) == [] and len(inodes(spent)) == len(seen)
+        assert sinks.retire_files(files, root) == len(wave)
+
+
+def test_retired_files_leave_others(spark, tmp_path):
+    root, spent = tmp_path / "root", str(tmp_path / "spent")
+    for key in ("a/in/1/x/f.csv", "a/in/1/x/other", "a/in/2/y/f.csv", "a/in/2/other"):
+        (root / key).parent.mkdir(parents=True, exist_ok=True)
+        (root / key).write_text("t")
+    files = spark.createDataFrame([(k, spent) for k in ("a/in/1/x/f.csv", "a/in/2/y/f.csv", "a/in/3/z/f.csv")], "key string, spent string")
+    sinks.retire_files(files, str(root))
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file()) == ["a/in/1/x/other", "a/in/2/other"]
+
+
 def test_arrivals_make_few_tasks(spark, tmp_path):
     """Failed before: a stream over many small files wrote each micro-batch as a file for every few of them."""
     root, out = tmp_path / "lake", str(tmp_path / "out")
